@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexisift.llm import bpe, neardup, packing
+from lexisift.llm import bpe, linededup, neardup, packing
 from lexisift.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op7_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.drop_spread_lines(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -33,4 +37,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_line_spread": linededup.SQL}
