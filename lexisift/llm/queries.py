@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexisift.llm import bpe, linededup, neardup, packing, quality
+from lexisift.llm import bpe, linededup, lm, neardup, packing, quality
 from lexisift.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op7_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.drop_spread_lines(table(spark, sf_dir, "documents"))
 
 
+def op9_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
