@@ -5,11 +5,17 @@ block of the first collection with one of the second, so ``blocks`` ** 2 tables
 need only 2 * ``blocks`` * ``width`` minhashes: about the square root of what independent tables need. A pair of
 similarity s shares a table with probability (1 - (1 - s ** width) ** blocks) ** 2.
 
-Documents with equal sets form one class; only one of each class goes on. Candidates are then confirmed in rounds. In
-a round every class is compared with the centre of its tables (the member that shares the most large tables), so a
-round costs one comparison for each class however large a table is; linked classes join one component. What then is
-left (tables that still hold several components) is compared pair by pair, first within those tables, sizes that
-cannot reach the similarity left out. No table is cut and no link between different texts that share a table is lost.
+Documents with equal sets form one class; only one of each class goes on. Candidates are then confirmed on the sets:
+
+1. Every class is compared with the centre of its tables, the member that shares the most large tables with others;
+   that costs one comparison for each class, however large a table is. Linked classes join one component.
+2. In tables that still hold several components, each member x is compared with the table's centre c, which leaves the
+   difference D(x) between x and c. Two members reach the similarity only if their differences share many elements,
+   the more the longer the differences are; so x can only be linked to a member that shares one of the rarest elements
+   of D(x), of which a fixed share of the set's size is enough (a prefix filter on differences). Where copies of one
+   text are edited in different places their differences have nothing in common, and no pair is formed at all.
+
+The second step is exact: no table is cut, and no link between different texts that share a table is lost.
 """
 
 from __future__ import annotations
@@ -61,32 +67,35 @@ def signatures(docs: DataFrame, words: int, width: int, blocks: int) -> DataFram
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, SIGNED)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) of doc_ids whose full sets reach the similarity. b may be the same for very many rows.
+COMPARED = "a bigint, b bigint, linked boolean, size bigint, differ array<bigint>"
+
+
+def compared(pairs: DataFrame, docs: DataFrame, words: int, percent: int, differ: bool = False) -> DataFrame:
+    """Whether the full sets of each of ``pairs`` (a, b) of doc_ids reach the similarity; with the size of a's set.
 
-    b's text joins first, while rows are short; an adaptive join deals a hot b out over many tasks.
+    differ: if asked for, the elements of just one of both sets. b may be the same for very many rows: its text joins
+    first, while rows are short, and an adaptive join deals a hot b out over many tasks.
     """
     with_b = pairs.join(docs.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     both = with_b.join(docs.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, last_set = None, None  # neighbours often share b
+        last, y = None, None  # neighbours often share b
         for batch in batches:
-            kept = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = shingle_set(x.as_py(), words), y.as_py()
-                if y != last:
-                    last, last_set = y, shingle_set(y, words)
-                least = min(len(x), len(last_set))
-                most = max(len(x), len(last_set))
-                if least and 100 * least >= percent * most:
-                    n = common(x, last_set)
-                    kept.append(100 * n >= percent * (len(x) + len(last_set) - n))
-                else:
-                    kept.append(False)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(kept, pa.bool_()))
-
-    return both.mapInArrow(run, "a bigint, b bigint")
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                linked, sizes, rest = [], [], []
+                for text, other in zip(part.column(2), part.column(3)):
+                    x, other = shingle_set(text.as_py(), words), other.as_py()
+                    if other != last:
+                        last, y = other, shingle_set(other, words)
+                    n = common(x, y)
+                    linked.append(bool(n) and 100 * n >= percent * (len(x) + len(y) - n))
+                    sizes.append(len(x))
+                    rest.append(np.setxor1d(x, y, assume_unique=True).view(np.int64) if differ else None)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(linked, pa.bool_()), pa.array(sizes, pa.int64()), pa.array(rest, pa.list_(pa.int64()))], ["a", "b", "linked", "size", "differ"])
+
+    return both.mapInArrow(run, COMPARED)
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -111,21 +120,55 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.distinct().join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
 
-def star_pairs(tables: DataFrame) -> DataFrame:
-    """One pair (a, b) for each member a of ``tables`` (key, rep, comp): the centre it shares most tables with.
+def centred(tables: DataFrame) -> DataFrame:
+    """(key, rep, comp, score, centre, centre_comp) for each row of ``tables`` (key, rep, comp).
 
     A table's centre is its member with the largest sum of table sizes, which finds the original among its edited
-    copies. Only a centre of another component counts.
+    copies; ties go to the smallest.
     """
     sized = stored(tables.join(tables.groupBy("key").agg(F.count("*").alias("size")), "key"), "sized")
     scored = sized.join(sized.groupBy("rep").agg(F.sum("size").alias("score")), "rep")
-    centre = scored.groupBy("key").agg(F.max(F.struct("score", (-F.col("rep")).alias("lower"), "comp")).alias("top"))
-    met = sized.join(centre, "key").select(F.col("rep").alias("a"), (-F.col("top.lower")).alias("b"), F.col("top.score").alias("score"), "comp", F.col("top.comp").alias("other")).where("comp <> other")
-    shared = met.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("score").alias("score"))
-    best = shared.groupBy("a").agg(F.max(F.struct("n", "score", (-F.col("b")).alias("lower"))).alias("best"))
+    top = scored.groupBy("key").agg(F.max(F.struct("score", (-F.col("rep")).alias("lower"), "comp")).alias("top"))
+    return sized.join(top, "key").select("key", "rep", "comp", F.col("top.score").alias("score"), (-F.col("top.lower")).alias("centre"), F.col("top.comp").alias("centre_comp"))
+
+
+def star_pairs(tables: DataFrame) -> DataFrame:
+    """One pair (a, b) for each member a: the centre with which it shares the most tables."""
+    met = centred(tables).where("comp <> centre_comp")
+    shared = met.groupBy("rep", "centre").agg(F.count("*").alias("n"), F.max("score").alias("score"))
+    best = shared.groupBy(F.col("rep").alias("a")).agg(F.max(F.struct("n", "score", (-F.col("centre")).alias("lower"))).alias("best"))
     return best.select("a", (-F.col("best.lower")).alias("b"))
 
 
+def rare_pairs(met: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that may be linked, of rows (a, b = centre, linked, size, differ) with the same centre.
+
+    With d the size of a difference, two sets of sizes m and n are linked if and only if the differences share
+    (d1 + d2 - (m + n) * (100 - percent) / (100 + percent)) / 2 elements or more. For members of different components
+    that is at least one, and partners may have no less than d - size * (100 - percent) / percent; so the rarest
+    size * (100 - percent) / percent + 1 elements of each difference must meet. What comes after a shared element
+    bounds how many more there can be.
+    """
+    met = met.join(comps.select(F.col("rep").alias("a"), "comp"), "a").withColumn("d", F.size("differ"))
+    each = stored(met.select("a", "b", "comp", "linked", "size", "d", F.explode("differ").alias("e")), "differences")
+    often = each.groupBy("b", "e").agg(F.count("*").alias("often")).where("often > 1")
+    shared = each.join(often, ["b", "e"])
+    ordered = shared.groupBy("a", "b").agg(F.first("comp").alias("comp"), F.first("linked").alias("linked"), F.first("size").alias("size"), F.first("d").alias("d"), F.sort_array(F.collect_list(F.struct("often", "e"))).alias("es"))
+    first = ordered.select("a", "b", "comp", "linked", "size", "d", (F.col("d") - F.size("es")).alias("alone"), F.posexplode("es").alias("i", "x"))
+    first = first.withColumn("at", F.col("alone") + F.col("i")).where(F.col("at") <= F.col("size") * (100 - percent) / percent)
+    first = stored(first.select("a", "b", "comp", "linked", "size", "d", (F.col("d") - F.col("at")).alias("left"), F.col("x.e").alias("e")), "prefixes")
+    x, y = first.alias("x"), first.alias("y")
+    near = (
+        (F.col("x.b") == F.col("y.b"))
+        & (F.col("x.e") == F.col("y.e"))
+        & (F.col("x.comp") < F.col("y.comp"))
+        & ~(F.col("x.linked") & F.col("y.linked"))
+        & (100 * F.least("x.size", "y.size") >= percent * F.greatest("x.size", "y.size"))
+        & ((100 + percent) * (F.col("x.d") + F.col("y.d")) - (100 - percent) * (F.col("x.size") + F.col("y.size")) <= 2 * (100 + percent) * F.least("x.left", "y.left"))
+    )
+    return x.join(y, near).select(F.col("x.a").alias("a"), F.col("y.a").alias("b")).distinct()
+
+
 def open_tables(tables: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``tables`` (key, rep) whose table holds several components, with the component."""
     labelled = tables.select("key", "rep").join(labels.select(F.col("node").alias("rep"), F.col("label").alias("comp")), "rep")
@@ -133,7 +176,7 @@ def open_tables(tables: DataFrame, labels: DataFrame) -> DataFrame:
     return stored(labelled.join(mixed, "key").select("key", "rep", "comp"), "open")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, width: int = 2, blocks: int = 8, rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, width: int = 2, blocks: int = 8) -> DataFrame:
     """For each row of (doc_id, text): n_shingles, component_id and kept.
 
     Documents are linked if 100 * intersection >= ``percent`` * union of their sets of ``words``-word shingles (of the
@@ -152,23 +195,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, width: i
     nodes = tables.select(F.col("rep").alias("node")).distinct()
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = stored(texts.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"), "texts")
-    labels, links = nodes.withColumn("label", F.col("node")), None
-    left = tables.withColumn("comp", F.col("rep"))
-    for _ in range(rounds):
-        if left.isEmpty():
-            break
-        found = stored(confirmed(star_pairs(left), texts, words, percent), "confirmed")
-        links = found if links is None else links.union(found)
-        labels = stored(components(nodes, links), "components")
-        left = open_tables(left, labels)
+    links = stored(compared(star_pairs(tables.withColumn("comp", F.col("rep"))), texts, words, percent).where("linked").select("a", "b"), "confirmed")
+    labels = stored(components(nodes, links), "components")
+    left = open_tables(tables, labels)
     if not left.isEmpty():
-        sizes = classes.groupBy("rep").agg(F.min("size").alias("low"), F.max("size").alias("high"))
-        sized = left.join(sizes, "rep")
-        one, two = sized.alias("one"), sized.alias("two")
-        rest = one.join(two, (F.col("one.key") == F.col("two.key")) & (F.col("one.comp") < F.col("two.comp")) & (100 * F.least("one.high", "two.high") >= percent * F.greatest("one.low", "two.low")))
-        rest = rest.select(F.col("one.rep").alias("a"), F.col("two.rep").alias("b")).distinct()
-        links = links.union(stored(confirmed(rest, texts, words, percent), "confirmed"))
-        labels = components(nodes, links)
+        pairs = centred(left).where("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
+        met = stored(compared(pairs, texts, words, percent, differ=True), "met")
+        rest = rare_pairs(met, left.select("rep", "comp").distinct(), percent)
+        more = stored(compared(rest, texts, words, percent).where("linked").select("a", "b"), "confirmed")
+        links = links.union(met.where("linked").select("a", "b")).union(more)
+        labels = stored(components(nodes, links), "components")
     named = classes.join(labels, classes["rep"] == labels["node"], "left").select("set_id", F.coalesce("label", "rep").alias("component_id"))
     named = stored(named, "named")
     out = signed.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
