@@ -45,7 +45,8 @@ def drop_spread_lines(docs: DataFrame, sites: int = 5, site: str = "source") ->
     lines = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).where(F.trim("line") != "").select("doc_id", line_hash(F.col("line")).alias("h"))
     hits = lines.join(spread, "h").where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
     hits = stored(hits.groupBy(F.col("doc_id").alias("hit_doc")).agg(F.collect_set("h").alias("cut_hashes")), "hits")
-    joined = docs.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_doc")), "left")
+    # As many documents as lines are hit, so this side grows with the input: never a broadcast.
+    joined = docs.join(hits.hint("merge"), F.col("doc_id").eqNullSafe(F.col("hit_doc")), "left")
     split = F.split("text", "\n")
     left = F.filter(split, lambda x: (F.trim(x) == "") | ~F.array_contains("cut_hashes", line_hash(x)))
     lines_left = F.when(F.col("cut_hashes").isNull(), split).otherwise(left)
