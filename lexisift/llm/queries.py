@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexisift.llm import bpe, linededup, lm, neardup, packing, quality
+from lexisift.llm import bpe, linededup, lm, neardup, packing, quality, tries
 from lexisift.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op2_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_trie_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.count_tokens(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary())
 
