@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexisift.llm import bpe, linededup, lm, neardup, packing, quality, tries
+from lexisift.llm import bpe, chat, hamming, linededup, lm, neardup, packing, quality, tries
 from lexisift.llm.common import table
 
 
@@ -16,6 +16,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.preferences(chat.paired(chat.conversations(table(spark, sf_dir, "conversations"))))
+
+
 def op2_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -36,6 +40,11 @@ def op7_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.drop_spread_lines(table(spark, sf_dir, "documents"))
 
 
+def op8_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return hamming.nearest(rows, rows.where("vec_id % 20 = 0"))
+
+
 def op9_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
@@ -49,4 +58,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_spread": linededup.SQL}
+    return {"op1_preference_format": chat.SQL, "op8_hamming_topk": hamming.SQL, "op7_line_spread": linededup.SQL}
