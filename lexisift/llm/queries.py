@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexisift.llm import bpe, chat, hamming, linededup, lm, neardup, packing, quality, tries
+from lexisift.llm import avi, bpe, chat, hamming, linededup, lm, neardup, packing, quality, tries
 from lexisift.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op6_avi_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return avi.digests(table(spark, sf_dir, "documents"))
+
+
 def op7_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.drop_spread_lines(table(spark, sf_dir, "documents"))
 
