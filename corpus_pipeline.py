@@ -1,12 +1,44 @@
-"""A corpus pipeline over the training-data operators."""
+"""A corpus pipeline over the training-data operators: quality, spread lines, near duplicates, packing."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lexisift.llm import linededup, neardup, packing, quality
 from lexisift.llm.common import stored, table
+from lexisift.llm.queries import vocabulary
 
-STAGES = []
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score, of text, host and path, is one half or more."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels")).select(*COLUMNS)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines on five sites or more stay in their first document alone; n_chars follows the text.
+
+    Documents that would lose over three tenths of their text are copies: they stay whole for the next stage.
+    """
+    out = linededup.drop_spread_lines(docs, most=0.3).where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return out.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("bigint"))).select(*COLUMNS)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by five-word shingles at a similarity of 0.8 or more: the one of smallest doc_id."""
+    kept = stored(neardup.near_duplicates(docs, words=5, percent=80).where("kept").select("doc_id"), "kept")
+    known = docs.where("doc_id is not null").join(kept.where("doc_id is not null").distinct(), "doc_id", "left_semi")
+    return known.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, packed into sequences of at most 1024 tokens."""
+    return packing.pack(docs, vocabulary())
+
+
+STAGES = [("quality", quality_stage), ("lines", line_stage), ("near_duplicates", near_stage), ("packing", packing_stage)]
 ORACLE_SQL = None
 
 

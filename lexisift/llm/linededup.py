@@ -32,11 +32,12 @@ def spread_lines(docs: DataFrame, sites: int, site: str = "source", lg_k: int =
     return spread.where(F.col("estimate") > sites * (1 + margin)).select("h", "first_doc").union(near.join(exact, "h").select("h", "first_doc"))
 
 
-def drop_spread_lines(docs: DataFrame, sites: int = 5, site: str = "source") -> DataFrame:
+def drop_spread_lines(docs: DataFrame, sites: int = 5, site: str = "source", most: float = 1.0) -> DataFrame:
     """``docs`` with spread lines cut from the text, and n_lines and n_removed (bigint).
 
     A line counts trimmed of spaces; blank lines stay. The first document with a line (the smallest doc_id) keeps it,
-    so no line is lost from the corpus. Null text stays null with no lines. Rows that repeat a doc_id are treated
+    so no line is lost from the corpus. A document that would lose more than the share ``most`` of its characters stays
+    whole: it is a copy rather than a carrier of boilerplate, and near-duplicate search needs it whole. Null text stays null with no lines. Rows that repeat a doc_id are treated
     alike; rows without doc_id lose spread lines unless no row with doc_id has them. An empty table gives an empty
     table. Columns named n_lines or n_removed are replaced; other columns pass through.
     """
@@ -49,13 +50,13 @@ def drop_spread_lines(docs: DataFrame, sites: int = 5, site: str = "source") ->
     joined = docs.join(hits.hint("merge"), F.col("doc_id").eqNullSafe(F.col("hit_doc")), "left")
     split = F.split("text", "\n")
     left = F.filter(split, lambda x: (F.trim(x) == "") | ~F.array_contains("cut_hashes", line_hash(x)))
-    lines_left = F.when(F.col("cut_hashes").isNull(), split).otherwise(left)
-    out = joined.withColumn("lines_left", lines_left)
-    total = F.coalesce(F.size(split), F.lit(0)).cast("bigint")
+    out = joined.withColumn("text_left", F.array_join(left, "\n")).withColumn("lines_left", F.size(left))
+    cut = F.col("cut_hashes").isNotNull() & (F.length("text_left") >= (1 - most) * F.length("text"))
+    count = lambda c: F.when(F.col("text").isNull(), 0).otherwise(c).cast("bigint")
     return out.select(
-        *(F.when(F.col("cut_hashes").isNull(), F.col("text")).otherwise(F.array_join("lines_left", "\n")).alias("text") if c == "text" else F.col(c) for c in docs.columns),
-        F.when(F.col("text").isNull(), 0).otherwise(total).cast("bigint").alias("n_lines"),
-        F.when(F.col("cut_hashes").isNull(), 0).otherwise(F.size(split) - F.size("lines_left")).cast("bigint").alias("n_removed"),
+        *(F.when(cut, F.col("text_left")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns),
+        count(F.size(split)).alias("n_lines"),
+        count(F.when(cut, F.size(split) - F.col("lines_left")).otherwise(0)).alias("n_removed"),
     )
 
 
