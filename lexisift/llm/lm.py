@@ -32,7 +32,7 @@ from lexisift.llm.common import stored
 
 #: The end of a text; no word holds a space.
 END = b" "
-KINDS, ALONE, BANDS, CLASSES = 16, 31, 6, 64
+KINDS, ALONE, BANDS, CLASSES = 16, 17, 6, 48
 RARE = 4096
 ROWS_WORD, ROWS_PAIR = 12_288, CLASSES * CLASSES
 ROWS = 2 * ROWS_WORD + 2 * ROWS_PAIR
@@ -112,7 +112,12 @@ class Ids(dict):
 
 def vocabulary(counts: DataFrame, head: int) -> Vocabulary:
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("one"), F.count_if(F.col("c") == 2).alias("two")).first()
-    rows = counts.where((F.col("c") >= 2) | (F.col("word") == END)).orderBy(F.desc("c"), "word").limit(head).toPandas()
+    # How frequent a word must be: by a histogram of a bounded number of steps, so that at most ``head`` words are sent.
+    step = F.when(F.col("word") == END, 1 << 20).otherwise(F.floor(F.log2(F.col("c").cast("double")) * 64)).alias("step")
+    steps = counts.where((F.col("c") >= 2) | (F.col("word") == END)).groupBy(step).count().orderBy(F.desc("step")).collect()
+    sums = np.cumsum([r["count"] for r in steps])
+    least = min((r["step"] for r, k in zip(steps, sums) if k <= head), default=1 << 20)
+    rows = counts.where((F.col("c") >= 2) | (F.col("word") == END)).where(step >= least).toPandas().sort_values(["c", "word"], ascending=[False, True], ignore_index=True)
     n, v = total["n"], total["v"]
     c = rows["c"].to_numpy(np.int64)
     mass = Counter()
@@ -185,12 +190,13 @@ def chunks(batches: Iterator[pa.RecordBatch], column: int, ids: Ids, size: int =
 
 
 def softmax(weights: np.ndarray, prior: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The exponentials of the classes' scores less the largest, and their sums."""
+    """The exponentials of the classes' scores, less the largest where they could overflow, and their sums."""
     z = weights[rows[0]]
     for r in rows[1:]:
         z += weights[r]
     z += prior
-    z -= z.max(axis=1, keepdims=True)
+    if z.max() > 60:  # no row is low throughout: gradients add up to zero over the classes, so a row's mean is the prior's
+        z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
     return z, z.sum(axis=1)
 
@@ -269,7 +275,7 @@ def score_frequent(docs: DataFrame, voc, weights) -> DataFrame:
             at[x == pad] = 0
             begin = np.cumsum([0] + [len(t) + PAD for t in texts[:-1]])
             score, plain, head = np.add.reduceat(at, begin), np.add.reduceat(base[x], begin), np.add.reduceat((x < known).astype(np.int64), begin)
-            rare = [Counter([t for t, i in zip(text, x[b + PAD : b + PAD + len(text)].tolist()) if i >= known]) for text, b in zip(texts, begin.tolist())]
+            rare = [Counter([text[i] for i in np.flatnonzero(x[b + PAD : b + PAD + len(text)] >= known).tolist()]) for text, b in zip(texts, begin.tolist())]
             n = len(texts)
             yield pa.RecordBatch.from_arrays(
                 [
