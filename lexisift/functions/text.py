@@ -75,7 +75,7 @@ def normal_form(c: Column | str) -> Column:
     return sub(sub(strip(F.lower(F.coalesce(col(c), F.lit("")))), rf"[{_S}]++", " "), rf"[^\p{{L}}\p{{N}}_{_S}{SCRIPT}]")
 
 
-def model_text(c: Column | str, least: float = 0.3, spaces: bool = True) -> Column:
+def model_text(c: Column | str, least: float = 0.0, spaces: bool = True) -> Column:
     """Script characters (and white space) of a text whose share of them among non-space characters reaches ``least``; else empty."""
     c = F.coalesce(col(c), F.lit(""))
     ratio = F.coalesce(count(c, f"[{SCRIPT}]") / F.nullif(count(c, rf"[^{_S}]"), F.lit(0)), F.lit(-1.0))

@@ -119,7 +119,7 @@ def source_rollup(spark, sf_dir):
     return projected(spark, sf_dir).groupBy("source").agg(F.count("*").alias("texts"), F.count_if(fit).alias("in_script"), F.sum(F.length("kt")).cast("bigint").alias("chars"), F.count_if(fit & (F.length("kt") >= 50)).alias("fit"))
 
 
-@query(f"WITH {CORPUS} SELECT doc_id, md5(CASE WHEN coalesce({count('kt', f'[{SCRIPT}]')} / nullif({count('kt', f'[^{_S}]')}, 0), -1.0) < 0.3 THEN '' ELSE regexp_replace(kt, '[^{SCRIPT}{_S}]', '', 'g') END) AS filtered FROM corpus")
+@query(f"WITH {CORPUS} SELECT doc_id, md5(CASE WHEN coalesce({count('kt', f'[{SCRIPT}]')} / nullif({count('kt', f'[^{_S}]')}, 0), -1.0) < 0.0 THEN '' ELSE regexp_replace(kt, '[^{SCRIPT}{_S}]', '', 'g') END) AS filtered FROM corpus")
 def model_text(spark, sf_dir):
     return projected(spark, sf_dir).select("doc_id", F.md5(T.model_text("kt")).alias("filtered"))
 
