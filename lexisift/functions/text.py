@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexisift.functions.scripts import DIGIT, SCRIPT, SPACE
@@ -14,6 +14,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def held(df: DataFrame, name: str, c: Column) -> DataFrame:
+    """``df`` with a column that is computed once, however often later expressions and lambdas name it."""
+    return df.select(*(x for x in df.columns if x != name), F.explode(F.array(c)).alias(name))
+
+
 def sub(c: Column, pattern: str, to: str = "") -> Column:
     return F.regexp_replace(c, F.lit(pattern), F.lit(to))
 

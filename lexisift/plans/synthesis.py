@@ -1 +1,57 @@
-"""Queries."""
+"""Queries of synthetic tokens."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import functions as F
+
+from lexisift.operators import synth as Y
+from lexisift.plans.registry import query
+from lexisift.plans.statistics import unique_tokens
+
+_L = lambda values, name: f"{name} AS (SELECT unnest([{', '.join(repr(x) for x in values)}]) AS {name})"
+_ALL = f"""{_L(Y.CONSONANTS, 'c')}, {_L(Y.VOWELS, 'v')}, {_L(Y.DIACRITICS, 'd')}, {_L(Y.INDEPENDENT, 'i')}, {_L(Y.DIGITS, 'n')}, s AS (SELECT c AS s FROM c), m AS (SELECT n AS m FROM n),
+fam AS (SELECT 'consonant' AS family, c AS token FROM c UNION ALL SELECT 'consonant_vowel', c || v FROM c, v UNION ALL SELECT 'consonant_vowel_diacritic', c || v || d FROM c, v, d UNION ALL SELECT 'consonant_diacritic', c || d FROM c, d
+UNION ALL SELECT 'independent', i FROM i UNION ALL SELECT 'independent', i || d FROM i, d UNION ALL SELECT 'cluster', c || chr(6098) || s FROM c, s WHERE c <> s UNION ALL SELECT 'cluster_vowel', c || chr(6098) || s || v FROM c, s, v WHERE c <> s
+UNION ALL SELECT 'cluster_vowel_diacritic', c || chr(6098) || s || v || d FROM (SELECT unnest([{', '.join(repr(x) for x in Y.CONSONANTS[:15])}]) AS c), (SELECT unnest([{', '.join(repr(x) for x in Y.CONSONANTS[:10])}]) AS s), (SELECT unnest([{', '.join(repr(x) for x in Y.LIMITED_VOWELS)}]) AS v), (SELECT unnest([{', '.join(repr(x) for x in Y.LIMITED_DIACRITICS)}]) AS d) WHERE c <> s
+UNION ALL SELECT 'digits', n FROM n UNION ALL SELECT 'digits', n || m FROM n, m), toks AS (SELECT DISTINCT token FROM fam)"""
+
+
+@query(f"WITH {_ALL} SELECT token FROM toks")
+def synthetic_tokens(spark, sf_dir):
+    return Y.all_tokens(spark)
+
+
+@query(f"WITH {_ALL} SELECT family, count(*) AS tokens, count(DISTINCT token) AS types FROM fam GROUP BY family")
+def synthetic_families(spark, sf_dir):
+    rows = [d.agg(F.count("*").alias("tokens"), F.count_distinct("token").alias("types")).select(F.lit(k).alias("family"), "tokens", "types") for k, d in Y.families(spark).items()]
+    return reduce(lambda a, b: a.union(b), rows)
+
+
+@query(f"WITH {_ALL} SELECT length(token)::BIGINT AS length, count(*) AS tokens, round(count(*) * 100 / sum(count(*)) OVER (), 6) AS percent FROM toks GROUP BY 1")
+def synthetic_length_hist(spark, sf_dir):
+    from pyspark.sql import Window
+
+    n = Y.all_tokens(spark).groupBy(F.length("token").cast("bigint").alias("length")).agg(F.count("*").alias("tokens"))
+    return n.withColumn("percent", F.round(F.col("tokens") * 100 / F.sum("tokens").over(Window.partitionBy()), 6))
+
+
+@query(f"WITH {_ALL} SELECT ch, count(*) AS cnt FROM (SELECT unnest(string_split(token, '')) AS ch FROM toks) GROUP BY ch")
+def synthetic_char_usage(spark, sf_dir):
+    return Y.all_tokens(spark).select(F.explode(F.regexp_extract_all("token", F.lit("(?s)."), 0)).alias("ch")).groupBy("ch").agg(F.count("*").alias("cnt"))
+
+
+@query("""WITH a AS (SELECT unnest(['ស', 'ក', 'ង', 'ន']) AS a), b AS (SELECT unnest(['ត', 'ក', 'ព', 'គ']) AS b), c AS (SELECT unnest(['រ', 'យ', 'ល', 'ម']) AS c)
+SELECT a || chr(6098) || b || chr(6098) || c AS token FROM a, b, c WHERE a <> b AND a <> c AND b <> c""")
+def synthetic_double_clusters(spark, sf_dir):
+    return Y.double_clusters(spark, ["ស", "ក", "ង", "ន"], ["ត", "ក", "ព", "គ"], ["រ", "យ", "ល", "ម"])
+
+
+from lexisift.plans.statistics import _SEEN  # noqa: E402
+
+
+@query(f"WITH {_SEEN}, {_ALL} SELECT token, cnt FROM firsts WHERE token IN (SELECT token FROM toks)")
+def synthetic_seen(spark, sf_dir):
+    """Synthetic tokens that the corpus has: a semi-join on the token."""
+    return unique_tokens(spark, sf_dir).select("token", "cnt").join(Y.all_tokens(spark), "token", "left_semi")
