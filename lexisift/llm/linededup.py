@@ -45,18 +45,18 @@ def drop_spread_lines(docs: DataFrame, sites: int = 5, site: str = "source", mos
     spread = stored(spread_lines(docs, sites, site), "boilerplate")
     lines = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).where(F.trim("line") != "").select("doc_id", line_hash(F.col("line")).alias("h"))
     hits = lines.join(spread, "h").where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
-    hits = stored(hits.groupBy(F.col("doc_id").alias("hit_doc")).agg(F.collect_set("h").alias("cut_hashes")), "hits")
+    hits = stored(hits.groupBy(F.col("doc_id").alias("_hit_doc")).agg(F.collect_set("h").alias("_cut_hashes")), "hits")
     # As many documents as lines are hit, so this side grows with the input: never a broadcast.
-    joined = docs.join(hits.hint("merge"), F.col("doc_id").eqNullSafe(F.col("hit_doc")), "left")
+    joined = docs.join(hits.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_hit_doc")), "left")
     split = F.split("text", "\n")
-    left = F.filter(split, lambda x: (F.trim(x) == "") | ~F.array_contains("cut_hashes", line_hash(x)))
-    out = joined.withColumn("text_left", F.array_join(left, "\n")).withColumn("lines_left", F.size(left))
-    cut = F.col("cut_hashes").isNotNull() & (F.length("text_left") >= (1 - most) * F.length("text"))
+    left = F.filter(split, lambda x: (F.trim(x) == "") | ~F.array_contains("_cut_hashes", line_hash(x)))
+    out = joined.withColumn("_text_left", F.array_join(left, "\n")).withColumn("_lines_left", F.size(left))
+    cut = F.col("_cut_hashes").isNotNull() & (F.length("_text_left") >= (1 - most) * F.length("text"))
     count = lambda c: F.when(F.col("text").isNull(), 0).otherwise(c).cast("bigint")
     return out.select(
-        *(F.when(cut, F.col("text_left")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns),
+        *(F.when(cut, F.col("_text_left")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns),
         count(F.size(split)).alias("n_lines"),
-        count(F.when(cut, F.size(split) - F.col("lines_left")).otherwise(0)).alias("n_removed"),
+        count(F.when(cut, F.size(split) - F.col("_lines_left")).otherwise(0)).alias("n_removed"),
     )
 
 

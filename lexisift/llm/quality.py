@@ -185,6 +185,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, most:
     Texts are read twice and scored twice rather than written or shuffled once more.
     """
     model = fit(docs, labels, most)
-    scored = evidence(docs, model)
+    own = {c: f"{c}__own" for c in docs.columns if c in ("doc_score", "host_posterior", "path_posterior", "quality_score", "keep")}
+    scored = evidence(docs.withColumnsRenamed(own), model)
     sites, mean = posteriors(evidence(docs.select("source", "lang", "text"), model).drop("text"))
-    return combined(scored, stored(sites, "sites"), mean, threshold).where("keep").select(*docs.columns)
+    kept = combined(scored, stored(sites, "sites"), mean, threshold).where("keep")
+    return kept.select(*(F.col(own.get(c, c)).alias(c) for c in docs.columns))
