@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexisift.functions.scripts import METHODS, SCRIPT, SPACE, segmenter
-from lexisift.functions.text import col, count
+from lexisift.functions.text import col, count, held
 
 
 def syllables(c: Column | str, method: str = "regex_advanced") -> Column:
@@ -25,7 +25,8 @@ def filled(tokens: Column) -> Column:
 
 def valid_syllables(tokens: Column, least: int = 1, most: int = 10, ratio: float = 0.5) -> Column:
     """Syllables fit for n-gram models: not blank, of fitting length and mostly of the script."""
-    return F.filter(tokens, lambda x: x.rlike(f"[^{SPACE}]") & F.length(x).between(least, most) & (count(x, f"[{SCRIPT}]") >= ratio * count(x, f"[^{SPACE}]")))
+    sure = rf"^[{SCRIPT}]{{{max(least, 1)},{most}}}\z"  # decides most syllables by one look
+    return F.filter(tokens, lambda x: x.rlike(sure) | x.rlike(f"[^{SPACE}]") & F.length(x).between(least, most) & (count(x, f"[{SCRIPT}]") >= ratio * count(x, f"[^{SPACE}]")))
 
 
 def segment(df: DataFrame, text: str = "text", method: str = "regex_advanced") -> DataFrame:
@@ -39,7 +40,9 @@ def segment(df: DataFrame, text: str = "text", method: str = "regex_advanced") -
 
 def compare_methods(df: DataFrame, text: str = "text", methods: tuple[str, ...] = METHODS) -> DataFrame:
     """``df`` with one array for each method, and whether all agree with the first."""
-    out = df.withColumns({m: syllables(text, m) for m in methods})
+    out = df
+    for m in methods:
+        out = held(out, m, syllables(text, m))
     same = F.lit(True)
     for m in methods[1:]:
         same = same & (F.col(m) == F.col(methods[0]))

@@ -41,12 +41,12 @@ def clean_markup(c: Column | str) -> Column:
 
 
 def clean_unicode(c: Column | str, nfc: bool = True) -> Column:
-    """NFC (only where there is something to compose), no zero-width space or mark, plain spaces."""
+    """NFC, no zero-width space or mark, plain spaces."""
     from lexisift.functions.udfs import nfc as compose
 
     c = col(c)
     if nfc:
-        c = F.when(c.rlike(r"[^\x00-\x{2FF}]"), compose(c)).otherwise(c)
+        c = compose(c)
     return F.translate(c, "\u00a0\u200b\ufeff", " ")
 
 
@@ -113,14 +113,17 @@ def words(c: Column | str) -> Column:
     return F.regexp_extract_all(F.coalesce(col(c), F.lit("")), F.lit(rf"[^{_S}]+"), 0)
 
 
-def quality(c: Column | str, least_ratio: float = 0.6, least_length: int = 50) -> dict[str, Column]:
-    """Metric columns of a text and its quality score."""
-    c = F.coalesce(col(c), F.lit(""))
-    n, ratio = F.length(c), script_ratio(c)
-    w = count(c, rf"[^{_S}]+")
-    sentences = F.when(n == 0, 0).otherwise(F.greatest(count(c, r"[.!?]+"), F.lit(1)))
-    letters = count(c, rf"[^{_S}]")
-    mean = letters / F.greatest(w, F.lit(1))
+def with_quality(df: DataFrame, text: str, least_ratio: float = 0.6, least_length: int = 50) -> DataFrame:
+    """``df`` with the metrics of a text, its latin_ratio and its quality_score. Each pattern is counted once."""
+    c = F.coalesce(F.col(text), F.lit(""))
+    counts = {"n": F.length(c), "script": count(c, f"[{SCRIPT}]"), "letters": count(c, r"\p{L}"), "latin": count(c, r"[A-Za-z\x{130}\x{212A}]"), "w": count(c, rf"[^{_S}]+"), "solid": count(c, rf"[^{_S}]"), "ends": count(c, r"[.!?]+"), "good": good_encoding(c)}
+    out = held(df, "_m", F.struct(*(v.alias(k) for k, v in counts.items())))
+    x = lambda k: F.col(f"_m.{k}")
+    n, w, good = x("n"), x("w"), x("good")
+    share = lambda k: F.coalesce(x(k) / F.nullif(x("letters"), F.lit(0)), F.lit(0.0))
+    ratio = share("script")
+    sentences = F.when(n == 0, 0).otherwise(F.greatest(x("ends"), F.lit(1)))
+    mean = x("solid") / F.greatest(w, F.lit(1))
     per = w / F.greatest(sentences, F.lit(1))
     score = (
         F.when(ratio >= least_ratio, 0.3 * F.least(ratio / 0.8, F.lit(1.0))).otherwise(0.0)
@@ -128,28 +131,29 @@ def quality(c: Column | str, least_ratio: float = 0.6, least_length: int = 50) -
         + F.when(w > 0, 0.2 * F.least(w / F.greatest(n, F.lit(1)) * 10, F.lit(1.0))).otherwise(0.0)
         + F.when((n > 0) & per.between(5, 25), 0.15).otherwise(0.0)
         + F.when(mean.between(3, 15), 0.1).otherwise(0.0)
-        + F.when(good_encoding(c), 0.05).otherwise(0.0)
+        + F.when(good, 0.05).otherwise(0.0)
     )
-    return {
+    metrics = {
         "length": n.cast("bigint"),
         "word_count": w.cast("bigint"),
         "sentence_count": sentences.cast("bigint"),
         "khmer_ratio": ratio,
+        "latin_ratio": share("latin"),
         "avg_word_length": mean,
-        "has_proper_encoding": good_encoding(c),
+        "has_proper_encoding": good,
         "quality_score": F.least(score, F.lit(1.0)),
     }
+    return out.withColumns(metrics).drop("_m")
 
 
-def reject_reason(cleaned: Column | str, least_ratio: float = 0.6, least_length: int = 50, most_latin: float = 0.3) -> Column:
-    """Why a cleaned text is not accepted, first reason first; null if it is."""
-    q = quality(cleaned, least_ratio, least_length)
+def reject_reason(least_ratio: float = 0.6, least_length: int = 50, most_latin: float = 0.3) -> Column:
+    """Why a text is not accepted, by its metrics, first reason first; null if it is."""
     return (
-        F.when(q["length"] < least_length, "length")
-        .when(q["khmer_ratio"] < least_ratio, "khmer_ratio")
-        .when(~q["has_proper_encoding"], "encoding")
-        .when(latin_ratio(cleaned) > most_latin, "khmer_ratio")
-        .when(q["quality_score"] < 0.5, "quality")
+        F.when(F.col("length") < least_length, "length")
+        .when(F.col("khmer_ratio") < least_ratio, "khmer_ratio")
+        .when(~F.col("has_proper_encoding"), "encoding")
+        .when(F.col("latin_ratio") > most_latin, "khmer_ratio")
+        .when(F.col("quality_score") < 0.5, "quality")
     )
 
 

@@ -27,6 +27,7 @@ def rarity(cnt: Column, least: int = 2, rare: int = 10, common: int = 100) -> Co
 
 def contexts(lists: DataFrame, doc: str, tokens: str) -> DataFrame:
     """(syllable, prev, cnt): what stands before each syllable of a list."""
+    lists = T.held(lists, tokens, F.col(tokens))
     pairs = F.transform(F.sequence(F.lit(2), F.greatest(F.size(tokens), F.lit(2))), lambda i: F.struct(F.try_element_at(tokens, i - 1).alias("prev"), F.try_element_at(tokens, i).alias("syllable")))
     each = lists.select(F.explode(F.when(F.size(tokens) > 1, pairs)).alias("x"))
     return each.groupBy(F.col("x.syllable").alias("syllable"), F.col("x.prev").alias("prev")).agg(F.count("*").alias("cnt"))

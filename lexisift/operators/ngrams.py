@@ -10,19 +10,22 @@ from pyspark.sql import Window
 
 from lexisift.functions.scripts import SPACE
 from lexisift.functions.segment import syllables, valid_syllables
-from lexisift.functions.text import model_text
-from lexisift.operators.stats import ngrams
+from lexisift.functions.text import held, model_text
+from lexisift.operators.stats import char_runs, ngrams
 
 PAD = "<"
 START, END = "<START>", "<END>"
 
 
 def char_units(text: Column | str, n: int, least: float = 0.0) -> Column:
-    """Padded characters of a text's script part; empty for texts without."""
-    kept = model_text(text, least)
-    chars = F.regexp_extract_all(kept, F.lit(r"(?s)."), 0)
-    pad = F.array_repeat(F.lit(PAD), n - 1)
-    return F.when(kept == "", F.array().cast("array<string>")).otherwise(F.concat(pad, chars, pad))
+    """A text's script part with padding, as a string; empty for texts without."""
+    pad = F.lit(PAD * (n - 1))
+    return F.regexp_replace(F.concat(pad, model_text(text, least), pad), F.lit(f"^{PAD * (2 * n - 2)}$"), F.lit(""))
+
+
+def runs(units: Column, n: int, separator: str) -> Column:
+    """The n-grams of units: of a string's characters without separator, else of an array."""
+    return ngrams(units, n, separator) if separator else char_runs(units, n)
 
 
 def syllable_units(text: Column | str, n: int, method: str = "regex_advanced") -> Column:
@@ -49,10 +52,11 @@ def train(units: DataFrame, column: str, n: int, separator: str, padding: tuple[
     Every n-gram begins with its context, so one shuffle of n-grams carries both counts; only each list's last context
     is no n-gram's beginning.
     """
+    units = held(units.select(column), column, F.col(column))
     u = F.col(column)
-    gram = units.select(F.explode(ngrams(u, n, separator)).alias("ngram")).groupBy("ngram").agg(F.count("*").alias("cnt"))
-    context = units.select(F.explode(ngrams(u, n - 1, separator)).alias("context")).groupBy("context").agg(F.count("*").alias("cnt"))
-    vocabulary = units.select(F.explode(u).alias("unit")).where(~F.col("unit").isin(*padding) if padding else F.lit(True)).agg(F.count_distinct("unit").alias("vocabulary"))
+    gram = units.select(F.explode(runs(u, n, separator)).alias("ngram")).groupBy("ngram").agg(F.count("*").alias("cnt"))
+    context = units.select(F.explode(runs(u, n - 1, separator)).alias("context")).groupBy("context").agg(F.count("*").alias("cnt"))
+    vocabulary = units.select(F.explode(u if separator else char_runs(u, 1)).alias("unit")).where(~F.col("unit").isin(*padding) if padding else F.lit(True)).agg(F.count_distinct("unit").alias("vocabulary"))
     cut = F.substring_index("ngram", separator, n - 1) if separator else F.expr("substr(ngram, 1, length(ngram) - 1)")
     gram = gram.select("ngram", cut.alias("context"), "cnt")
     sizes = vocabulary.join(gram.agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("total")))
@@ -116,7 +120,7 @@ def scored(texts: DataFrame, key: str, units: Column, model: Model) -> DataFrame
     Distinct n-grams of the texts are looked up once: the texts' n-grams are joined with counts, both sides by equal
     keys; the sizes are one row.
     """
-    each = texts.select(key, F.posexplode(ngrams(units, model.n, model.separator)).alias("pos", "ngram"))
+    each = held(texts.select(key, units.alias("_u")), "_u", F.col("_u")).select(key, F.posexplode(runs(F.col("_u"), model.n, model.separator)).alias("pos", "ngram"))
     cut = F.substring_index("ngram", model.separator, model.n - 1) if model.separator else F.expr("substr(ngram, 1, length(ngram) - 1)")
     each = each.withColumn("context", cut)
     joined = each.join(model.ngrams.select("ngram", "cnt"), "ngram", "left").join(model.contexts.withColumnRenamed("cnt", "context_cnt"), "context", "left").join(F.broadcast(model.sizes))

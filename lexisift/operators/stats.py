@@ -18,8 +18,22 @@ def characters(c: Column | str) -> Column:
 def ngrams(tokens: Column, n: int, separator: str = " ") -> Column:
     """All runs of n tokens, joined; an empty array for shorter lists."""
     size = F.size(tokens)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), separator))
-    return F.when(size >= n, runs).otherwise(F.array().cast("array<string>"))
+    count = F.greatest(size - n + 1, F.lit(0))
+    runs = F.slice(tokens, F.lit(1), count)
+    for k in range(1, n):
+        runs = F.zip_with(runs, F.slice(tokens, F.lit(k + 1), count), lambda x, y: F.concat(x, F.lit(separator), y))
+    return runs
+
+
+def char_runs(text: Column, n: int) -> Column:
+    """All runs of n characters of a string, found in one pass by looking ahead."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), 1)
+
+
+def char_ngram_counts(df: DataFrame, text: str, n: int) -> DataFrame:
+    """(token, cnt) of runs of n characters that are no white space; separated by spaces after counting."""
+    runs = frequencies(df, char_runs(F.regexp_replace(text, f"[{SPACE}]+", ""), n), "run")
+    return runs.select(F.array_join(F.regexp_extract_all("run", F.lit("(?s)."), 0), " ").alias("token"), "cnt")
 
 
 def frequencies(df: DataFrame, tokens: Column, name: str = "token") -> DataFrame:

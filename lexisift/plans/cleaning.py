@@ -62,8 +62,9 @@ def clean_scraped(spark, sf_dir):
 
 @query(f"WITH {CORPUS}, m AS (SELECT doc_id, {quality_sql('kt')} FROM corpus) SELECT doc_id, length, word_count, sentence_count, round(khmer_ratio, 6) AS khmer_ratio, round(avg_word_length, 6) AS avg_word_length, has_proper_encoding, round(quality_score, 6) AS quality_score FROM m")
 def quality_metrics(spark, sf_dir):
-    q = T.quality("kt")
-    return projected(spark, sf_dir).select("doc_id", *(F.round(v, 6).alias(k) if k in ("khmer_ratio", "avg_word_length", "quality_score") else v.alias(k) for k, v in q.items()))
+    r = lambda c: F.round(c, 6).alias(c)
+    d = T.with_quality(projected(spark, sf_dir), "kt")
+    return d.select("doc_id", "length", "word_count", "sentence_count", r("khmer_ratio"), r("avg_word_length"), "has_proper_encoding", r("quality_score"))
 
 
 _PIPE = f"""{CORPUS}, cleaned AS (SELECT doc_id, lang, source, {clean_sql('kt')} AS c FROM corpus), m AS (SELECT doc_id, lang, source, c, {quality_sql('c', 0.7, 20)} FROM cleaned),
@@ -72,8 +73,8 @@ v AS (SELECT *, length >= 20 AND khmer_ratio >= 0.7 AND quality_score >= 0.6 AS
 
 def pipeline_rows(spark, sf_dir):
     """Cleaned texts with their metrics, validity and (if valid) syllables."""
-    d = projected(spark, sf_dir).select("doc_id", "lang", "source", T.clean_text("kt").alias("c"))
-    d = d.withColumns(T.quality("c", 0.7, 20))
+    d = T.held(projected(spark, sf_dir), "c", T.clean_text("kt")).select("doc_id", "lang", "source", "c")
+    d = T.with_quality(d, "c", 0.7, 20)
     d = d.withColumn("is_valid", (F.col("length") >= 20) & (F.col("khmer_ratio") >= 0.7) & (F.col("quality_score") >= 0.6))
     empty = F.array().cast("array<string>")
     return d.withColumn("syllables", F.when(F.col("is_valid"), syllables("c", "regex_basic")).otherwise(empty)).withColumn("syllable_count", F.size("syllables").cast("bigint"))
@@ -109,8 +110,8 @@ _LATIN = f"coalesce({count('c', '[A-Za-z]')} / nullif({count('c', chr(92) + 'p{L
 @query(f"""WITH {CORPUS}, cleaned AS (SELECT doc_id, {clean_sql('kt')} AS c FROM corpus), m AS (SELECT doc_id, c, {quality_sql('c')} FROM cleaned)
 SELECT CASE WHEN length < 50 THEN 'length' WHEN khmer_ratio < 0.6 THEN 'khmer_ratio' WHEN NOT has_proper_encoding THEN 'encoding' WHEN {_LATIN} > 0.3 THEN 'khmer_ratio' WHEN quality_score < 0.5 THEN 'quality' ELSE 'accepted' END AS reason, count(*) AS texts FROM m GROUP BY 1""")
 def accept_reasons(spark, sf_dir):
-    d = projected(spark, sf_dir).select(T.clean_text("kt").alias("c"))
-    return d.groupBy(F.coalesce(T.reject_reason("c"), F.lit("accepted")).alias("reason")).agg(F.count("*").alias("texts"))
+    d = T.with_quality(T.held(projected(spark, sf_dir), "c", T.clean_text("kt")), "c")
+    return d.groupBy(F.coalesce(T.reject_reason(), F.lit("accepted")).alias("reason")).agg(F.count("*").alias("texts"))
 
 
 @query(f"WITH {CORPUS} SELECT source, count(*) AS texts, count(*) FILTER (WHERE {ratio('kt')} >= 0.6) AS in_script, sum(length(kt))::BIGINT AS chars, count(*) FILTER (WHERE {ratio('kt')} >= 0.6 AND length(kt) >= 50) AS fit FROM corpus GROUP BY source")

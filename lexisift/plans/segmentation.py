@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexisift.functions.scripts import METHODS
+from lexisift.functions.text import held
 from lexisift.functions.segment import compare_methods, joined, method_groups, segment, syllables
 from lexisift.plans.registry import query
 from lexisift.plans.sqltext import CORPUS, EACH, not_blank, tokens
@@ -20,8 +21,8 @@ def syllable_topk(spark, sf_dir):
 
 def _digest(method):
     def run(spark, sf_dir):
-        s = syllables("kt", method)
-        return projected(spark, sf_dir).select("doc_id", F.size(s).cast("bigint").alias("syllable_count"), F.md5(F.array_join(s, "|")).alias("digest"))
+        d = held(projected(spark, sf_dir), "s", syllables("kt", method))
+        return d.select("doc_id", F.size("s").cast("bigint").alias("syllable_count"), F.md5(F.array_join("s", "|")).alias("digest"))
 
     return run
 

@@ -29,18 +29,18 @@ def char_freq(spark, sf_dir):
 
 @query(_grams(_CHARS, 2, "chars"))
 def char_bigrams(spark, sf_dir):
-    return S.frequencies(projected(spark, sf_dir).select(S.characters("kt").alias("a")), S.ngrams(F.col("a"), 2))
+    return S.char_ngram_counts(projected(spark, sf_dir), "kt", 2)
 
 
 @query(_grams(_CHARS, 3, "chars"))
 def char_trigrams(spark, sf_dir):
-    return S.frequencies(projected(spark, sf_dir).select(S.characters("kt").alias("a")), S.ngrams(F.col("a"), 3))
+    return S.char_ngram_counts(projected(spark, sf_dir), "kt", 3)
 
 
 @query(_grams(f"{SYLLABLES}, l AS (SELECT doc_id, s AS a FROM lists)", 2, "l"))
 def syllable_bigrams(spark, sf_dir):
     """White space takes part in pairs."""
-    return S.frequencies(projected(spark, sf_dir).select(syllables("kt").alias("a")), S.ngrams(F.col("a"), 2))
+    return S.frequencies(T.held(projected(spark, sf_dir), "a", syllables("kt")), S.ngrams(F.col("a"), 2))
 
 
 @query(f"WITH {EACH} SELECT syllable AS token, count(*) AS cnt FROM each GROUP BY syllable")
@@ -55,7 +55,7 @@ def word_freq(spark, sf_dir):
 
 @query(_grams(_WORDS, 2, "wordlists"))
 def word_bigrams(spark, sf_dir):
-    return S.frequencies(projected(spark, sf_dir).select(T.words("kt").alias("a")), S.ngrams(F.col("a"), 2))
+    return S.frequencies(T.held(projected(spark, sf_dir), "a", T.words("kt")), S.ngrams(F.col("a"), 2))
 
 
 @query(f"WITH {EACH} SELECT length(syllable)::BIGINT AS length, count(*)::BIGINT AS cnt FROM each GROUP BY 1")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexisift.functions.scripts import LATIN, PROJECTED
+from lexisift.functions.text import held
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +20,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def projected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents with ``kt``: Latin letters become letters of the script, but for French texts."""
     docs = documents(spark, sf_dir)
-    return docs.withColumn("kt", F.when(F.col("lang") == "fr", F.col("text")).otherwise(F.translate(F.lower("text"), LATIN, PROJECTED)))
+    return held(docs, "kt", F.when(F.col("lang") == "fr", F.col("text")).otherwise(F.translate(F.lower("text"), LATIN, PROJECTED)))
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from lexisift.functions.segment import segment
-from lexisift.functions.text import clean_text, quality
+from lexisift.functions.text import clean_text, held, with_quality
 
 
 def texts(spark: SparkSession, folder: str, schema: StructType, files: int = 8) -> DataFrame:
@@ -18,8 +18,7 @@ def texts(spark: SparkSession, folder: str, schema: StructType, files: int = 8)
 
 def validated(stream: DataFrame, text: str = "text") -> DataFrame:
     """Each arriving text cleaned, scored and segmented; stateless, so it works on streams and tables alike."""
-    out = stream.withColumn("cleaned", clean_text(text))
-    out = out.withColumns(quality("cleaned", 0.7, 20))
+    out = with_quality(held(stream, "cleaned", clean_text(text)), "cleaned", 0.7, 20)
     return segment(out, "cleaned").withColumn("is_valid", (F.col("length") >= 20) & (F.col("khmer_ratio") >= 0.7) & (F.col("quality_score") >= 0.6))
 
 
