@@ -197,3 +197,7 @@ def included(c: Column | str, kind: Column, filter_other: bool = True, punctuati
         .when(kind == "non_khmer", not filter_other)
         .otherwise(True)
     )
+
+
+#: One look instead of several for tokens without white space inside: what ``included`` takes by default.
+INCLUDED = rf"(?s)^(?![{DIGIT}0-9]{{2,}}\z)(?:.*[{SCRIPT}].*|[{PUNCTUATION}]+|[{DIGIT}0-9])\z"

@@ -27,19 +27,20 @@ def coverage(freq: DataFrame, vocabulary: DataFrame, token: str = "token") -> Da
 
 def encode(lists: DataFrame, key: str, tokens: str, vocabulary: DataFrame, length: int) -> DataFrame:
     """(key, ids): the first ``length`` tokens as ids, unknown ones as 1, filled up with 0."""
-    each = lists.select(key, F.posexplode(F.slice(tokens, 1, length)).alias("pos", "token"))
-    ids = each.join(vocabulary.select("token", "id"), "token", "left").select(key, F.struct("pos", F.coalesce("id", F.lit(UNK)).alias("id")).alias("x"))
-    some = ids.groupBy(key).agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["id"]).alias("ids"))
+    each = lists.select(key, F.posexplode(F.slice(tokens, 1, length)).alias("_pos", "_token"))
+    names = vocabulary.select(F.col("token").alias("_token"), F.col("id").alias("_id"))
+    some = each.join(names, "_token", "left").groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("_pos", F.coalesce("_id", F.lit(UNK)).alias("x")))), lambda x: x["x"]).alias("_ids"))
     full = lists.select(key).join(some, key, "left")
-    got = F.coalesce("ids", F.array().cast("array<int>"))
+    got = F.coalesce("_ids", F.array().cast("array<int>"))
     return full.select(key, F.concat(got, F.array_repeat(F.lit(PAD), length - F.size(got))).alias("ids"))
 
 
 def decode(encoded: DataFrame, key: str, vocabulary: DataFrame, ids: str = "ids", keep_unknown: bool = True) -> DataFrame:
     """(key, text): tokens joined; special ids are skipped, unknown ones show as <UNK> if kept."""
-    each = encoded.select(key, F.posexplode(ids).alias("pos", "id")).where(~F.col("id").isin(PAD, SOS, EOS))
-    named = each.join(vocabulary.select("id", "token"), "id", "left").withColumn("token", F.coalesce("token", F.lit("<UNK>" if keep_unknown else "")))
-    texts = named.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), "").alias("text"))
+    each = encoded.select(key, F.posexplode(ids).alias("_pos", "_id")).where(~F.col("_id").isin(PAD, SOS, EOS))
+    names = vocabulary.select(F.col("id").alias("_id"), F.col("token").alias("_token"))
+    named = each.join(names, "_id", "left").withColumn("_token", F.coalesce("_token", F.lit("<UNK>" if keep_unknown else "")))
+    texts = named.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_pos", "_token"))), lambda x: x["_token"]), "").alias("text"))
     return encoded.select(key).join(texts, key, "left").select(key, F.coalesce("text", F.lit("")).alias("text"))
 
 

@@ -59,7 +59,7 @@ before AS (SELECT syllable, lag(syllable) OVER (PARTITION BY doc_id ORDER BY pos
 
 
 def context(spark, sf_dir):
-    kept = F.filter(syllables("kt"), lambda x: x.rlike(r"\S") & T.included(x, T.syllable_type(x)))
+    kept = F.filter(syllables("kt"), lambda x: x.rlike(T.INCLUDED))
     return Q.contexts(projected(spark, sf_dir).select("doc_id", kept.alias("s")), "doc_id", "s")
 
 
