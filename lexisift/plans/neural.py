@@ -1,0 +1,39 @@
+"""Queries of the fused validators, with the n-gram model as the scorer."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lexisift.operators import neural as M
+from lexisift.operators import vocab as V
+from lexisift.plans.combined import _ERR, _THREE, bench_scores, error_sources
+from lexisift.plans.models import char_scored
+from lexisift.plans.registry import query
+from lexisift.plans.vocabularies import _PERP
+
+_VALID = "nv AS (SELECT item_id, p AS perplexity, coalesce(n_anomalies, 0) AS n_anomalies, 1 / (1 + p / 10) AS confidence FROM (SELECT item_id, exp(avg(ln(x))) AS p FROM pp GROUP BY item_id) LEFT JOIN (SELECT item_id, count(*) AS n_anomalies FROM pp JOIN (SELECT item_id, count(*) AS n, quantile_cont(x, 0.5) AS m, quantile_cont(x, 0.75) AS u FROM pp GROUP BY item_id) q USING (item_id) WHERE n >= 3 AND x > m + 2 * (u - m) GROUP BY item_id) USING (item_id))"
+
+
+@query(f"WITH {_PERP}, {_VALID} SELECT item_id, round(perplexity, 5) AS perplexity, n_anomalies, round(confidence, 6) AS confidence, perplexity < 50 AND n_anomalies = 0 AS neural_valid FROM nv")
+def neural_validation(spark, sf_dir):
+    each = V.perplexities(char_scored(spark, sf_dir), "item_id")
+    out = M.validated(V.sequence_perplexity(each, "item_id"), V.anomalies(each, "item_id"), "item_id")
+    return out.withColumn("perplexity", F.round("perplexity", 5)).withColumn("confidence", F.round("confidence", 6))
+
+
+@query(f"WITH {_THREE} SELECT weight, round(avg(weight * char + (1 - weight) * syllable), 6) AS mean_score FROM three, (SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])::DOUBLE AS weight) GROUP BY weight")
+def fusion_sweep(spark, sf_dir):
+    rows = bench_scores(spark, sf_dir).select("item_id", F.col("char").alias("neural"), F.col("syllable").alias("statistical"))
+    return M.weight_sweep(rows, "item_id").withColumn("mean_score", F.round("mean_score", 6))
+
+
+@query(f"""WITH {_ERR}, p AS (SELECT item_id, position, max(confidence) AS m, avg(confidence) AS a, count(DISTINCT source) AS n FROM errs GROUP BY ALL)
+SELECT 'union' AS strategy, item_id, position, round(m, 6) AS confidence FROM p UNION ALL SELECT 'intersection', item_id, position, round(m, 6) FROM p WHERE n = 2 UNION ALL SELECT 'confidence_weighted', item_id, position, round(a, 6) FROM p WHERE a >= 0.5""")
+def fused_errors(spark, sf_dir):
+    e = error_sources(spark, sf_dir)
+    a, b = e.where("source = 'rule'"), e.where("source = 'statistical'")
+    out = None
+    for s in ("union", "intersection", "confidence_weighted"):
+        one = M.fused_errors(a, b, "item_id", s).select(F.lit(s).alias("strategy"), "item_id", "position", F.round("confidence", 6).alias("confidence"))
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -184,3 +184,21 @@ def test_white_space_as_python(spark):
     text = "a b　c\x1cd\te"
     assert one(spark, text, T.words("t"))[0] == text.split()
     assert regex.split(r"\s", "a b") == ["a", "b"]
+
+
+def test_error_merge(spark):
+    from lexisift.operators import neural
+
+    rows = [(1, 0, "x", "rule", 0.5, "a", 0), (1, 0, "x", "char", 0.58, "b", 1), (1, 0, "x", "syll", 0.52, "c", 2), (1, 5, "y", "rule", 0.9, "a", 0), (1, 5, "y", "char", 0.3, "b", 1)]
+    df = spark.createDataFrame(rows, "id bigint, position bigint, segment string, type string, confidence double, description string, ord int")
+    got = {r["position"]: (r["type"], r["confidence"], r["description"]) for r in neural.merged_errors(df, "id").collect()}
+    assert got == {0: ("char", 0.58, "b; c"), 5: ("rule", 0.9, "a")}
+
+
+def test_final_score(spark):
+    from lexisift.operators import neural
+
+    df = spark.createDataFrame([(0.8, None, 1.0, 0), (None, None, 1.0, 0), (0.9, 0.9, 0.5, 0)], "a double, b double, g double, n int")
+    score, valid = neural.final_score({"a": F.col("a"), "b": F.col("b")}, {"a": 0.6, "b": 0.4}, F.col("g"), F.col("n"))
+    got = [(round(r[0], 6), r[1]) for r in df.select(score, valid).collect()]
+    assert got == [(0.8, True), (0.0, False), (0.675, True)]
