@@ -202,3 +202,14 @@ def test_final_score(spark):
     score, valid = neural.final_score({"a": F.col("a"), "b": F.col("b")}, {"a": 0.6, "b": 0.4}, F.col("g"), F.col("n"))
     got = [(round(r[0], 6), r[1]) for r in df.select(score, valid).collect()]
     assert got == [(0.8, True), (0.0, False), (0.675, True)]
+
+
+def test_ranked_slices(spark):
+    r = random.Random(12)
+    keys = r.sample(range(10**6), 3000)
+    df = spark.createDataFrame([(k,) for k in keys], "k bigint")
+    got = {}
+    for x in voting.ranked_slices(df, "k", [0, 1000, 2990], 20).collect():
+        got.setdefault(x["fold"], set()).add(x["k"])
+    s = sorted(keys)
+    assert got == {0: set(s[:20]), 1: set(s[1000:1020]), 2: set(s[2990:])}
