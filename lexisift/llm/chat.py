@@ -43,8 +43,10 @@ def paired(convs: DataFrame) -> DataFrame:
     both = couples.where("rejected_id is not null").select("chosen_id", "rejected_id").union(rest.select("chosen_id", "rejected_id"))
     text = convs.select("conv_id", "turns")
     out = both.join(text.withColumnsRenamed({"conv_id": "chosen_id", "turns": "chosen"}), "chosen_id")
-    out = out.join(text.withColumnsRenamed({"conv_id": "rejected_id", "turns": "rejected"}), "rejected_id", "left")
-    return out.select("chosen_id", F.coalesce("rejected_id", "chosen_id").alias("rejected_id"), "chosen", F.coalesce("rejected", F.expr("slice(chosen, 1, size(chosen) - 1)")).alias("rejected"))
+    # Those without partner stay out of the second join: their null keys would all meet in one task.
+    two = out.where("rejected_id is not null").join(text.withColumnsRenamed({"conv_id": "rejected_id", "turns": "rejected"}), "rejected_id")
+    alone = out.where("rejected_id is null").select("chosen_id", F.col("chosen_id").alias("rejected_id"), "chosen", F.expr("slice(chosen, 1, size(chosen) - 1)").alias("rejected"))
+    return two.select("chosen_id", "rejected_id", "chosen", "rejected").union(alone)
 
 
 def common_turns(a: Column, b: Column) -> Column:
