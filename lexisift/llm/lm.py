@@ -220,7 +220,7 @@ def train_round(docs: DataFrame, voc, shared, rate: float, step: int = 2048) ->
                 p, total = softmax(weights, prior, r)
                 p /= -total[:, None]
                 p[np.arange(len(y)), y] += 1
-                for own in r[k // step % 2 :: 2]:  # steps take turns: the last word and the last pair, then both skips
+                for own in r:
                     order = np.argsort(own, kind="stable")
                     at = own[order]
                     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))

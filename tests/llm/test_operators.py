@@ -339,3 +339,13 @@ def test_language_model_is_a_distribution(spark):
     assert len(rare) == voc.rare_words and sum(rare) == voc.rare_total
     if rare:
         assert sum(x - voc.discount for x in rare) / voc.rare_total + voc.discount * voc.rare_words / voc.rare_total == pytest.approx(1.0)
+
+
+def test_language_model_trains_all_templates(spark):
+    """One short document moves the weights of all four feature templates."""
+    df = docs(spark, [(1, "the cat sat on the mat and the dog lay on the rug")])
+    sc = spark.sparkContext
+    voc = sc.broadcast(lm.vocabulary(lm.counted(df), 1000))
+    weights = lm.train_round(df, voc, sc.broadcast(np.zeros((lm.ROWS, lm.CLASSES), np.float32)), 0.3)
+    ends = np.cumsum([lm.ROWS_WORD, lm.ROWS_WORD, lm.ROWS_PAIR, lm.ROWS_PAIR])
+    assert all(np.abs(weights[end - size : end]).max() > 0 for end, size in zip(ends, [lm.ROWS_WORD, lm.ROWS_WORD, lm.ROWS_PAIR, lm.ROWS_PAIR]))
