@@ -20,7 +20,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines on five sites or more stay in their first document alone; n_chars follows the text.
 
-    Documents that would lose over three tenths of their text are copies: they stay whole for the next stage.
+    Copies of one other document that would lose over three tenths of their text stay whole for the next stage.
     """
     out = linededup.drop_spread_lines(docs, most=0.3).where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return out.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("bigint"))).select(*COLUMNS)

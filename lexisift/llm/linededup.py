@@ -13,23 +13,27 @@ from pyspark.sql import functions as F
 from lexisift.llm.common import stored
 
 
+#: The part that shared lines have in the characters of a document and its copy, both counted once.
+COPY = 0.9
+
+
 def line_hash(line: Column) -> Column:
     return F.xxhash64(F.trim(line))
 
 
 def spread_lines(docs: DataFrame, sites: int, site: str = "source", lg_k: int = 12, margin: float = 0.3) -> DataFrame:
-    """(h, first_doc) for each line hash on at least ``sites`` distinct sites; ``margin`` bounds what counts as near.
+    """(h, first_doc, first_size) for each line hash on at least ``sites`` distinct sites; ``margin`` bounds what counts as near.
 
-    Blank lines and null sites do not count. first_doc is the smallest doc_id with the line.
+    Blank lines and null sites do not count. first_doc is the smallest doc_id with the line, first_size its characters.
     """
-    lines = docs.select("doc_id", F.col(site).alias("site"), F.explode(F.split("text", "\n")).alias("line")).where(F.trim("line") != "")
-    lines = lines.select("doc_id", "site", line_hash(F.col("line")).alias("h"))
-    spread = lines.groupBy("h").agg(F.hll_sketch_agg("site", lg_k).alias("sketch"), F.count("site").alias("n"), F.min("doc_id").alias("first_doc")).where(F.col("n") >= sites)
-    spread = spread.select("h", "first_doc", F.hll_sketch_estimate("sketch").alias("estimate")).where(F.col("estimate") >= sites * (1 - margin))
+    lines = docs.select("doc_id", F.col(site).alias("site"), F.length("text").alias("size"), F.explode(F.split("text", "\n")).alias("line")).where(F.trim("line") != "")
+    lines = lines.select("doc_id", "site", "size", line_hash(F.col("line")).alias("h"))
+    spread = lines.groupBy("h").agg(F.hll_sketch_agg("site", lg_k).alias("sketch"), F.count("site").alias("n"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "size"))).alias("first")).where(F.col("n") >= sites)
+    spread = spread.select("h", F.col("first.doc_id").alias("first_doc"), F.col("first.size").alias("first_size"), F.hll_sketch_estimate("sketch").alias("estimate")).where(F.col("estimate") >= sites * (1 - margin))
     spread = stored(spread, "spread")
-    near = spread.where(F.col("estimate") <= sites * (1 + margin)).select("h", "first_doc")
+    near = spread.where(F.col("estimate") <= sites * (1 + margin)).select("h", "first_doc", "first_size")
     exact = lines.join(near.select("h"), "h", "left_semi").where("site is not null").select("h", "site").distinct().groupBy("h").count().where(F.col("count") >= sites).select("h")
-    return spread.where(F.col("estimate") > sites * (1 + margin)).select("h", "first_doc").union(near.join(exact, "h").select("h", "first_doc"))
+    return spread.where(F.col("estimate") > sites * (1 + margin)).select("h", "first_doc", "first_size").union(near.join(exact, "h").select("h", "first_doc", "first_size"))
 
 
 def drop_spread_lines(docs: DataFrame, sites: int = 5, site: str = "source", most: float = 1.0) -> DataFrame:
@@ -37,21 +41,33 @@ def drop_spread_lines(docs: DataFrame, sites: int = 5, site: str = "source", mos
 
     A line counts trimmed of spaces; blank lines stay. The first document with a line (the smallest doc_id) keeps it,
     so no line is lost from the corpus. A document that would lose more than the share ``most`` of its characters stays
-    whole: it is a copy rather than a carrier of boilerplate, and near-duplicate search needs it whole. Null text stays null with no lines. Rows that repeat a doc_id are treated
+    whole if it is a copy of one other document: of the characters of both, lines they share have the part COPY or more.
+    Near-duplicate search needs such copies whole; all others are cut, however much they lose. Null text stays null with no lines. Rows that repeat a doc_id are treated
     alike; rows without doc_id lose spread lines unless no row with doc_id has them. An empty table gives an empty
     table. Columns named n_lines or n_removed are replaced; other columns pass through.
     """
     docs = docs.drop("n_lines", "n_removed")
     spread = stored(spread_lines(docs, sites, site), "boilerplate")
-    lines = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).where(F.trim("line") != "").select("doc_id", line_hash(F.col("line")).alias("h"))
+    lines = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).where(F.trim("line") != "").select("doc_id", line_hash(F.col("line")).alias("h"), F.length(F.trim("line")).alias("chars"))
     hits = lines.join(spread, "h").where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
-    hits = stored(hits.groupBy(F.col("doc_id").alias("_hit_doc")).agg(F.collect_set("h").alias("_cut_hashes")), "hits")
+    if most < 1:  # the lines by the document that has them first: the one with most of them may be what this is a copy of
+        by_first = hits.groupBy(F.col("doc_id").alias("_hit_doc"), "first_doc", "first_size").agg(F.collect_set(F.struct("h", "chars")).alias("own"))
+        common = F.aggregate("own", F.lit(0).cast("bigint"), lambda n, x: n + x["chars"] + 1)
+        by_first = by_first.select("_hit_doc", F.col("own.h").alias("h"), F.struct(common.alias("chars"), F.col("first_size").alias("size")).alias("common"))
+        hits = by_first.groupBy("_hit_doc").agg(F.flatten(F.collect_list("h")).alias("_cut_hashes"), F.max("common").alias("_common"))
+    else:
+        hits = hits.groupBy(F.col("doc_id").alias("_hit_doc")).agg(F.collect_set("h").alias("_cut_hashes"))
+    hits = stored(hits, "hits")
     # As many documents as lines are hit, so this side grows with the input: never a broadcast.
     joined = docs.join(hits.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_hit_doc")), "left")
     split = F.split("text", "\n")
     left = F.filter(split, lambda x: (F.trim(x) == "") | ~F.array_contains("_cut_hashes", line_hash(x)))
     out = joined.withColumn("_text_left", F.array_join(left, "\n")).withColumn("_lines_left", F.size(left))
-    cut = F.col("_cut_hashes").isNotNull() & (F.length("_text_left") >= (1 - most) * F.length("text"))
+    cut = F.col("_cut_hashes").isNotNull()
+    if most < 1:
+        common = F.col("_common.chars")
+        copy = F.coalesce(common >= COPY * (F.length("text") + F.col("_common.size") - common), F.lit(False))
+        cut &= (F.length("_text_left") >= (1 - most) * F.length("text")) | ~copy
     count = lambda c: F.when(F.col("text").isNull(), 0).otherwise(c).cast("bigint")
     return out.select(
         *(F.when(cut, F.col("_text_left")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns),

@@ -31,6 +31,16 @@ def test_good_documents_stay(spark):
     assert len(good & kept) >= 0.97 * len(good) and len(bad & kept) <= 0.1 * len(bad)
 
 
+def test_lines_go_from_documents_that_are_no_copies(spark):
+    """Boilerplate of over three tenths of a text is cut; a copy of one other document stays whole for the next stage."""
+    banner, body = "a banner line that many sites show at the top", "\n".join("body line %d of the copied document" % k for k in range(30))
+    rows = [(i, f"{banner}\nown words of document {i}", "en", f"s{i}", 0) for i in range(10)] + [(100 + i, f"{body}\nedit {i}", "en", f"s{i}", 0) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_stage(spark, df, SF).collect()}
+    assert [i for i in range(10) if banner in got[i]] == [0]
+    assert all(got[100 + i] == f"{body}\nedit {i}" for i in range(6))
+
+
 def test_registered():
     import __spark_entry__
 
