@@ -213,3 +213,9 @@ def test_ranked_slices(spark):
         got.setdefault(x["fold"], set()).add(x["k"])
     s = sorted(keys)
     assert got == {0: set(s[:20]), 1: set(s[1000:1020]), 2: set(s[2990:])}
+
+
+def test_greedy_decides_long_chains(spark):
+    keys = spark.range(54).withColumnRenamed("id", "seq")
+    pairs = spark.range(1, 54).selectExpr("id AS a", "id - 1 AS b")
+    assert {x["seq"]: x["kept"] for x in dedup.greedy(keys, pairs).collect()} == {k: k % 2 == 0 for k in range(54)}
