@@ -349,3 +349,10 @@ def test_language_model_trains_all_templates(spark):
     weights = lm.train_round(df, voc, sc.broadcast(np.zeros((lm.ROWS, lm.CLASSES), np.float32)), 0.3)
     ends = np.cumsum([lm.ROWS_WORD, lm.ROWS_WORD, lm.ROWS_PAIR, lm.ROWS_PAIR])
     assert all(np.abs(weights[end - size : end]).max() > 0 for end, size in zip(ends, [lm.ROWS_WORD, lm.ROWS_WORD, lm.ROWS_PAIR, lm.ROWS_PAIR]))
+
+
+def test_language_model_frequent_words_have_a_class_each(spark):
+    """The 31 most frequent words are alone in their classes, of 64."""
+    df = docs(spark, [(i, " ".join("w%d" % k for k in range(40) for _ in range(40 - k))) for i in range(3)])
+    voc = lm.vocabulary(lm.counted(df), 1000)
+    assert lm.CLASSES == 64 and np.bincount(voc.classes, minlength=64)[1:32].tolist() == [1] * 31
