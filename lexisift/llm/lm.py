@@ -5,12 +5,14 @@ hashed features pick: the last word, the word before it (a skip), the pair of th
 of classes three and four words back (a skip pair). Words fall into classes by frequency and by the kind of document
 they live in; the most frequent have a class each. Rare words and unknown ones share one class, in which absolute
 discounting sets the mass of unknown words aside, so the model is a distribution over the known words, the end and one
-unknown word.
-
-Counts come from one aggregation over all training documents. The weights are trained on all of them in rounds: each
-task takes gradient steps on its documents from the common weights, and the tasks' rows are averaged, each row by how
-often a task met it. The frequent words are sent to the tasks, at most ``head`` of them; the rest are looked up by a
-join, so nothing that grows with the corpus is sent.
+unknown word. Within its class a word has its plain share.
+
+Words are known by a 64-bit hash: at a billion distinct words a collision is expected once in forty corpora, and it
+would add two words' counts. Counts come from one aggregation over all training documents. The weights are trained on
+all of them in each round: every task takes gradient steps on its documents from the common weights, and the tasks'
+steps are averaged, each row by how often a task met it. The table of word rows grows with the root of the number of
+training tokens, up to ``most_rows``. The frequent words are sent to the tasks, at most ``head`` of them; the rest are
+looked up by a join, so nothing that grows with the corpus without a bound is sent.
 """
 
 from __future__ import annotations
@@ -20,7 +22,6 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -29,56 +30,126 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexisift.llm.common import stored
+from lexisift.llm.shingles import words_at
 
-#: The end of a text; no word holds a space.
-END = b" "
+#: The hash that stands for the end of a text.
+END = 0
 KINDS, ALONE, BANDS, CLASSES = 16, 31, 6, 64
 RARE = 4096
-ROWS_WORD, ROWS_PAIR = 12_288, CLASSES * CLASSES
-ROWS = 2 * ROWS_WORD + 2 * ROWS_PAIR
+ROWS_PAIR = CLASSES * CLASSES
 BLOCK = 256
 PAD = 4
+#: Training tokens for each task of a round, of which there are eight at least: the fewer tasks, the fewer tables of steps are shuffled.
+SHARD = 1 << 22
 
 
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
-def words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+@dataclass
+class Texts:
+    """Some whole texts: which rows of which batches they are, their words' hashes one after the other, and numbers of words."""
+
+    places: list
+    words: np.ndarray
+    sizes: np.ndarray
+    letter: np.ndarray  # whether a word begins with a letter
+
+    def docs(self) -> np.ndarray:
+        """The text of each word."""
+        return np.repeat(np.arange(len(self.sizes)), self.sizes)
+
+
+def texts(batches: Iterator[pa.RecordBatch], column: int, size: int = 1 << 18) -> Iterator[Texts]:
+    """The texts of a column, grouped until they have ``size`` bytes. Null counts as empty."""
+
+    def made() -> Texts:
+        data = b" ".join(parts)
+        words, begin = words_at(data)
+        ends = np.cumsum([len(p) + 1 for p in parts])
+        first = np.frombuffer(data, np.uint8)[begin] | 0x20 if len(begin) else np.zeros(0, np.uint8)
+        sizes = np.diff(np.searchsorted(begin, ends, side="left"), prepend=0)
+        return Texts(places, words.view(np.int64), sizes, (first >= 0x61) & (first <= 0x7A) | (first >= 0xA0))
+
+    places, parts, held = [], [], 0
+    for batch in batches:
+        for k, x in enumerate(batch.column(column)):
+            data = x.as_py() or b""
+            places.append((batch, k))
+            parts.append(data)
+            held += len(data) + 1
+            if held >= size:
+                yield made()
+                places, parts, held = [], [], 0
+    if parts:
+        yield made()
+
+
+def runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order that sorts by the keys (the first one first) and where each run of equal keys begins in it."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        s = k[order]
+        new[1:] |= s[1:] != s[:-1]
+    return order, np.flatnonzero(new)
 
 
-def kind(counts: Counter) -> int:
-    """The kind of a document, by its most frequent word of letters."""
-    for w, _ in counts.most_common(4):
-        if w.isalpha():
-            return crc32(w) % KINDS
-    return 0
+def word_counts(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, word, times) of the distinct words of each text."""
+    doc = t.docs()
+    order, first = runs(doc, t.words)
+    return doc[order[first]], t.words[order[first]], np.diff(np.append(first, len(order)))
+
+
+def kinds(t: Texts, doc: np.ndarray, word: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The kind of each text: a hash of its most frequent word that begins with a letter, 0 without one."""
+    begins = np.sort(t.words[t.letter])
+    at = np.minimum(np.searchsorted(begins, word), max(len(begins) - 1, 0))
+    use = begins[at] == word if len(begins) else np.zeros(len(word), bool)
+    out = np.zeros(len(t.sizes), np.int64)
+    order = np.lexsort((word[use], times[use], doc[use]))  # the last of each text is its most frequent
+    out[doc[use][order]] = (word[use][order].view(np.uint64) % np.uint64(KINDS)).astype(np.int64)
+    return out
 
 
 def counted(docs: DataFrame, flush: int = 1_000_000) -> DataFrame:
-    """(word, c, kind) of all words and ends: the count and the kind of document that has most of the word."""
+    """(word, c, kind) of all words and ends: the count and the kind of document that has most of the word.
+
+    A task holds sums of at most about ``flush`` words and kinds together before it passes them on.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: list[Counter] = [Counter() for _ in range(KINDS)]
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for k, c in enumerate(sums):
-                if c:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(np.full(len(c), k), pa.int32()), pa.array(list(c.values()), pa.int64())], ["word", "kind", "c"])
-                    c.clear()
-
-        for batch in batches:
-            for x in batch.column(0):
-                c = Counter(words(x.as_py()))
-                k = kind(c)
-                c[END] += 1
-                sums[k].update(c)
-                if len(sums[k]) > flush:
-                    yield from out()
-        yield from out()
-
-    parts = docs.select("text").mapInArrow(run, "word binary, kind int, c bigint")
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def summed() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            kind, word, times = (np.concatenate(c) for c in zip(*held))
+            order, first = runs(kind, word)
+            return kind[order[first]], word[order[first]], np.add.reduceat(times[order], first)
+
+        def out() -> pa.RecordBatch:
+            kind, word, times = held[0]
+            return pa.RecordBatch.from_arrays([pa.array(word, pa.int64()), pa.array(kind, pa.int32()), pa.array(times, pa.int64())], ["word", "kind", "c"])
+
+        new = 0
+        for t in texts(batches, 0):
+            doc, word, times = word_counts(t)
+            kind = kinds(t, doc, word, times)
+            ends = np.bincount(kind, minlength=KINDS)
+            held.append((np.concatenate([kind[doc], np.flatnonzero(ends)]), np.concatenate([word, np.full(np.count_nonzero(ends), END)]), np.concatenate([times, ends[ends > 0]])))
+            new += len(word)
+            if new > flush // 2:
+                held, new = [summed()], 0
+                if len(held[0][0]) > flush // 2:
+                    yield out()
+                    held = []
+        if held:
+            held = [summed()]
+            yield out()
+
+    parts = docs.select(F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, "word bigint, kind int, c bigint")
     by_kind = parts.repartition("word").groupBy("word", "kind").agg(F.sum("c").alias("c"))
     return by_kind.groupBy("word").agg(F.sum("c").alias("c"), F.max(F.struct("c", "kind")).alias("top")).select("word", "c", F.col("top.kind").alias("kind"))
 
@@ -88,7 +159,7 @@ class Vocabulary:
     """The frequent words with their classes, and the totals. Its size is bounded by ``head``."""
 
     key: str
-    words: list[bytes]
+    words: np.ndarray
     classes: np.ndarray
     base: np.ndarray  # log10 of the unigram base
     inside: np.ndarray  # log10 P(word | class)
@@ -98,19 +169,14 @@ class Vocabulary:
     rare_total: int
     rare_words: int
     discount: float
+    rows_word: int
 
-    def ids(self) -> Ids:
-        return Ids({w: k for k, w in enumerate(self.words)} | {None: len(self.words)})
-
+    @property
+    def rows(self) -> int:
+        return 2 * self.rows_word + 2 * ROWS_PAIR
 
-class Ids(dict):
-    """Ids of frequent words; others get one of a few hashed ids, which only features use."""
 
-    def __missing__(self, word: bytes) -> int:
-        return self[None] + crc32(word) % RARE
-
-
-def vocabulary(counts: DataFrame, head: int) -> Vocabulary:
+def vocabulary(counts: DataFrame, head: int, most_rows: int = 1 << 16) -> Vocabulary:
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("one"), F.count_if(F.col("c") == 2).alias("two")).first()
     # How frequent a word must be: by a histogram of a bounded number of steps, so that at most ``head`` words are sent.
     step = F.when(F.col("word") == END, 1 << 20).otherwise(F.floor(F.log2(F.col("c").cast("double")) * 64)).alias("step")
@@ -138,119 +204,166 @@ def vocabulary(counts: DataFrame, head: int) -> Vocabulary:
     discount = total["one"] / (total["one"] + 2 * total["two"]) if total["one"] else 0.5
     below = math.log10(n + 0.1 * (v + 1))
     smooth = sums + 0.5
-    return Vocabulary(uuid.uuid4().hex, [bytes(w) for w in rows["word"]], classes, np.log10(c + 0.1) - below, np.log10(c / np.maximum(sums[classes], 1)) if len(c) else np.zeros(0), np.log(smooth / smooth.sum()), n, v, rare, v - len(c), min(max(discount, 0.01), 0.99))
+    inside = np.log10(c / np.maximum(sums[classes], 1)) if len(c) else np.zeros(0)
+    rows_word = min(max(2048, -(-int(1.4 * math.sqrt(n)) // BLOCK) * BLOCK), most_rows, 1 << 16)
+    return Vocabulary(uuid.uuid4().hex, rows["word"].to_numpy(np.int64), classes, np.log10(c + 0.1) - below, inside, np.log(smooth / smooth.sum()), n, v, rare, v - len(c), min(max(discount, 0.01), 0.99), rows_word)
+
+
+class Ids:
+    """Ids of hashed words: frequent ones by rank, others one of a few that only features use; the last id is padding."""
+
+    def __init__(self, voc: Vocabulary):
+        self.known, self.pad = len(voc.words), len(voc.words) + RARE
+        self.order = np.argsort(voc.words)
+        self.sorted = voc.words[self.order]
+        self.end = int(self(np.zeros(1, np.int64) + END)[0])
+        self.classes = np.concatenate([voc.classes, np.zeros(RARE + 1, np.int64)])
 
+    def __call__(self, words: np.ndarray) -> np.ndarray:
+        rare = self.known + (words.view(np.uint64) % np.uint64(RARE)).astype(np.int64)
+        if not self.known:
+            return rare
+        at = np.minimum(np.searchsorted(self.sorted, words), self.known - 1)
+        return np.where(self.sorted[at] == words, self.order[at], rare)
 
-_LOCAL: dict[str, tuple[Ids, np.ndarray]] = {}
+    def sequence(self, t: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """One id sequence of all texts, PAD ids before and the end after each, and where each text's PAD ids begin."""
+        n, d = len(t.words), len(t.sizes)
+        x = np.full(n + d * (PAD + 1), self.pad, np.int64)
+        x[np.arange(n) + t.docs() * (PAD + 1) + PAD] = self(t.words)
+        x[np.cumsum(t.sizes) + np.arange(d) * (PAD + 1) + PAD] = self.end
+        return x, np.cumsum(t.sizes) - t.sizes + np.arange(d) * (PAD + 1)
 
 
-def local(voc: Vocabulary) -> tuple[Ids, np.ndarray]:
-    """The id table and the class of each id, made once for each worker process."""
+_LOCAL: dict[str, Ids] = {}
+
+
+def local(voc: Vocabulary) -> Ids:
+    """The id table, made once for each worker process."""
     if voc.key not in _LOCAL:
         _LOCAL.clear()
-        _LOCAL[voc.key] = voc.ids(), np.concatenate([voc.classes, np.zeros(RARE + 1, np.int64)])
+        _LOCAL[voc.key] = Ids(voc)
     return _LOCAL[voc.key]
 
 
-def rows_of(x: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """The four weight rows of each place of the id sequence ``x`` from PAD on."""
-    hashed = ((x * 2654435761) % 4294967291) % ROWS_WORD
-    c = classes[x]
+def rows_of(x: np.ndarray, classes: np.ndarray, rows_word: int) -> np.ndarray:
+    """The weight row of each of the four templates at each place of the id sequence ``x`` from PAD on, within the template."""
+    hashed = (((x * 2654435761) % 4294967291) % rows_word).astype(np.uint16)
+    c = classes[x].astype(np.uint16)
     n = len(x)
     back = lambda a, k: a[PAD - k : n - k]
-    return np.stack(
-        [
-            back(hashed, 1),
-            ROWS_WORD + back(hashed, 2),
-            2 * ROWS_WORD + back(c, 1) * CLASSES + back(c, 2),
-            2 * ROWS_WORD + ROWS_PAIR + back(c, 3) * CLASSES + back(c, 4),
-        ]
-    )
+    return np.stack([back(hashed, 1), back(hashed, 2), back(c, 1) * np.uint16(CLASSES) + back(c, 2), back(c, 3) * np.uint16(CLASSES) + back(c, 4)])
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: int, ids: Ids, size: int = 1 << 16) -> Iterator[tuple[list, list, np.ndarray]]:
-    """Documents as ((batch, row) places, token lists, one id sequence) of about ``size`` ids; PAD ids stand before each text."""
-    pad = ids[None] + RARE
-    places, texts, parts, held = [], [], [], 0
-    for batch in batches:
-        for k, x in enumerate(batch.column(column)):
-            w = words(x.as_py())
-            w.append(END)
-            row = np.full(PAD + len(w), pad, np.int64)
-            row[PAD:] = np.fromiter(map(ids.__getitem__, w), np.int64, len(w))
-            places.append((batch, k))
-            texts.append(w)
-            parts.append(row)
-            held += len(row)
-            if held >= size:
-                yield places, texts, np.concatenate(parts)
-                places, texts, parts, held = [], [], [], 0
-    if parts:
-        yield places, texts, np.concatenate(parts)
+def templates(weights: np.ndarray) -> list[np.ndarray]:
+    """The rows of each template, as views."""
+    rows_word = (len(weights) - 2 * ROWS_PAIR) // 2
+    ends = np.cumsum([rows_word, rows_word, ROWS_PAIR])
+    return np.split(weights, ends)
 
 
-def softmax(weights: np.ndarray, prior: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def softmax(weights: list[np.ndarray], prior: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The exponentials of the classes' scores, less the largest where they could overflow, and their sums."""
-    z = weights[rows[0]]
-    for r in rows[1:]:
-        z += weights[r]
-    z += prior
+    z = prior + weights[0].take(rows[0], axis=0)
+    for w, r in zip(weights[1:], rows[1:]):
+        z += w.take(r, axis=0)
     if z.max() > 60:  # no row is low throughout: gradients add up to zero over the classes, so a row's mean is the prior's
         z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
     return z, z.sum(axis=1)
 
 
-def train_round(docs: DataFrame, voc, shared, rate: float, step: int = 2048) -> np.ndarray:
+def row_sums(p: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct ``rows``, the sums of the lines of ``p`` that belong to each, and how many these are.
+
+    Lines are put in the order of their rows and added two by two, so each is touched about three times in all.
+    """
+    order = np.argsort(rows, kind="stable")
+    at = rows[order]
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    size = np.diff(np.append(first, len(at)))
+    lines = p.take(order, axis=0)
+    place = np.arange(len(at)) - np.repeat(first, size)
+    left = np.repeat(size, size) - place  # lines of the row from here on
+    to, step = np.flatnonzero((place % 2 == 0) & (left > 1)), 1
+    while len(to):
+        lines[to] = lines.take(to, axis=0) + lines.take(to + step, axis=0)
+        step *= 2
+        to = to[(place[to] % (2 * step) == 0) & (left[to] > step)]
+    return at[first], lines.take(first, axis=0), size
+
+
+def train_round(docs: DataFrame, voc, shared, rate: float, step: int = 4096) -> np.ndarray:
     """The weights after one round over ``docs``, from the broadcast weights ``shared``."""
+    v = voc.value
+    shards = max(8, -(-v.tokens // SHARD))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = voc.value
-        ids, classes = local(v)
+        ids = local(v)
         prior = v.prior.astype(np.float32)
         start = shared.value
-        weights, met, energy = start.copy(), np.zeros(ROWS, np.float32), np.full(ROWS, 1e-6, np.float32)
-        pad = ids[None] + RARE
-        for _, _, x in chunks(batches, 0, ids):
-            rows, target = rows_of(x, classes), classes[x[PAD:]]
-            real = np.flatnonzero(x[PAD:] != pad)
-            rows, target = rows[:, real], target[real]
-            for k in range(0, len(target), step):
-                r, y = rows[:, k : k + step], target[k : k + step]
-                p, total = softmax(weights, prior, r)
-                p /= -total[:, None]
-                p[np.arange(len(y)), y] += 1
-                for own in r:
-                    order = np.argsort(own, kind="stable")
-                    at = own[order]
-                    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-                    to = at[first]
-                    grad = np.add.reduceat(p[order], first)
-                    seen = np.diff(np.append(first, len(at)))
-                    energy[to] += np.einsum("ij,ij->i", grad, grad)
-                    weights[to] += (rate / np.sqrt(energy[to]))[:, None] * grad
-                    met[to] += seen
+        weights, met, energy = start.copy(), np.zeros(v.rows, np.float32), np.full(v.rows, 1e-6, np.float32)
+        parts, mets, energies = templates(weights), templates(met), templates(energy)
+        for t in texts(batches, 0):
+            x, _ = ids.sequence(t)
+            for k in range(0, len(x) - PAD, 1 << 16):
+                part = x[k : k + (1 << 16) + PAD]
+                rows, target = rows_of(part, ids.classes, v.rows_word), ids.classes[part[PAD:]]
+                real = np.flatnonzero(part[PAD:] != ids.pad)
+                rows, target = rows[:, real], target[real]
+                for i in range(0, len(target), step):
+                    r, y = rows[:, i : i + step], target[i : i + step]
+                    p, total = softmax(parts, prior, r)
+                    p /= -total[:, None]
+                    p[np.arange(len(y)), y] += 1
+                    for own, w, m, e in zip(r, parts, mets, energies):
+                        to, grad, seen = row_sums(p, own)
+                        e[to] += np.einsum("ij,ij->i", grad, grad)
+                        w[to] += (rate / np.sqrt(e[to]))[:, None] * grad
+                        m[to] += seen
         if met.any():
-            moved = np.hstack([(weights - start) * met[:, None], met[:, None]]).astype(np.float32)
+            moved = np.clip(weights - start, -60, 60).astype(np.float16)
             task = TaskContext.get().partitionId()
-            n = ROWS // BLOCK
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n), pa.int32()), pa.array(np.full(n, task % 32), pa.int32()), pa.array([moved[k * BLOCK : (k + 1) * BLOCK].tobytes() for k in range(n)], pa.binary())], ["block", "part", "moved"])
+            n = v.rows // BLOCK
+            blocks = [moved[k * BLOCK : (k + 1) * BLOCK].tobytes() + met[k * BLOCK : (k + 1) * BLOCK].tobytes() for k in range(n)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n), pa.int32()), pa.array(np.full(n, task % 32), pa.int32()), pa.array(blocks, pa.binary())], ["block", "part", "moved"])
 
     def add(group: pa.Table) -> pa.Table:
-        total = sum((np.frombuffer(x.as_py(), np.float32) for x in group["moved"]), np.zeros(BLOCK * (CLASSES + 1), np.float32))
-        return pa.table([pa.array([group["block"][0].as_py()], pa.int32()), pa.array([group["part"][0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "part", "moved"])
+        """The mean of the tasks' steps, each row by how often a task met it."""
+        total, weight = np.zeros((BLOCK, CLASSES), np.float32), np.zeros(BLOCK, np.float32)
+        for x in group["moved"]:
+            data = x.as_py()
+            met = np.frombuffer(data, np.float32, BLOCK, 2 * BLOCK * CLASSES)
+            total += np.frombuffer(data, np.float16, BLOCK * CLASSES).reshape(BLOCK, CLASSES) * met[:, None]
+            weight += met
+        mean = (total / np.maximum(weight, 1)[:, None]).astype(np.float16)
+        return pa.table([pa.array([group["block"][0].as_py()], pa.int32()), pa.array([group["part"][0].as_py()], pa.int32()), pa.array([mean.tobytes() + weight.tobytes()], pa.binary())], ["block", "part", "moved"])
 
     schema = "block int, part int, moved binary"
-    # Two levels of sums: no task holds the rows of more than a part of the tasks.
-    sums = docs.select("text").mapInArrow(run, schema).groupBy("block", "part").applyInArrow(add, schema).groupBy("block").applyInArrow(add, schema)
+    # Two levels of means: no task holds the rows of more than a part of the tasks.
+    steps = docs.select(F.col("text").cast("string").cast("binary").alias("text")).coalesce(shards).mapInArrow(run, schema)
     weights = shared.value.copy()
-    for row in sums.collect():  # one row for each block: a fixed number
-        moved = np.frombuffer(row["moved"], np.float32).reshape(BLOCK, CLASSES + 1)
-        weights[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] += moved[:, :-1] / np.maximum(moved[:, -1:], 1)
+    for row in steps.groupBy("block", "part").applyInArrow(add, schema).groupBy("block").applyInArrow(add, schema).collect():  # one row for each block: a bounded number
+        weights[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] += np.frombuffer(row["moved"], np.float16, BLOCK * CLASSES).reshape(BLOCK, CLASSES)
     return weights
 
 
-SCORED = "rid bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, score double, rare array<binary>, times array<bigint>"
+SCORED = "rid bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, score double, rare array<bigint>, times array<bigint>"
+
+
+def token_scores(x: np.ndarray, v: Vocabulary, ids: Ids, weights: np.ndarray) -> np.ndarray:
+    """log10 P(word | context) of each place of the sequence ``x``: of frequent words whole, of rare ones the class alone."""
+    prior, inside, weights = v.prior.astype(np.float32), np.concatenate([v.inside, np.zeros(RARE + 1)]), templates(weights)
+    out = np.zeros(len(x))
+    for k in range(0, len(x) - PAD, 8192):
+        part = x[k : k + 8192 + PAD]
+        z, total = softmax(weights, prior, rows_of(part, ids.classes, v.rows_word))
+        chosen = z[np.arange(len(total)), ids.classes[part[PAD:]]]
+        out[PAD + k : PAD + k + len(total)] = np.log10(np.maximum(chosen, 1e-30)) - np.log10(total)
+    out += inside[x]
+    out[x == ids.pad] = 0
+    return out
 
 
 def score_frequent(docs: DataFrame, voc, weights) -> DataFrame:
@@ -258,61 +371,65 @@ def score_frequent(docs: DataFrame, voc, weights) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, w = voc.value, weights.value
-        ids, classes = local(v)
-        prior = v.prior.astype(np.float32)
-        known, pad = ids[None], ids[None] + RARE
+        ids = local(v)
         base = np.concatenate([v.base, np.zeros(RARE + 1)])
-        inside = np.concatenate([v.inside, np.zeros(RARE + 1)])
         rid = TaskContext.get().partitionId() << 33
-        for places, texts, x in chunks(batches, 2, ids):
-            rows, y = rows_of(x, classes), classes[x[PAD:]]
-            at = np.zeros(len(x))
-            for k in range(0, len(y), 8192):
-                z, total = softmax(w, prior, rows[:, k : k + 8192])
-                chosen = z[np.arange(len(total)), y[k : k + 8192]]
-                at[PAD + k : PAD + k + len(total)] = np.log10(np.maximum(chosen, 1e-30)) - np.log10(total)
-            at += inside[x]
-            at[x == pad] = 0
-            begin = np.cumsum([0] + [len(t) + PAD for t in texts[:-1]])
-            score, plain, head = np.add.reduceat(at, begin), np.add.reduceat(base[x], begin), np.add.reduceat((x < known).astype(np.int64), begin)
-            rare = [Counter([text[i] for i in np.flatnonzero(x[b + PAD : b + PAD + len(text)] >= known).tolist()]) for text, b in zip(texts, begin.tolist())]
-            n = len(texts)
+        for t in texts(batches, 2):
+            x, begin = ids.sequence(t)
+            at = token_scores(x, v, ids, w)
+            score, plain, head = np.add.reduceat(at, begin), np.add.reduceat(base[x], begin), np.add.reduceat((x < ids.known).astype(np.int64), begin)
+            doc, word, times = word_counts(t)
+            rare = ids(word) >= ids.known
+            n = len(t.sizes)
+            if ids.end >= ids.known:  # without training texts the end is as rare as all else
+                doc, word, times, rare = np.append(doc, np.arange(n)), np.append(word, np.full(n, END)), np.append(times, np.ones(n, np.int64)), np.append(rare, np.ones(n, bool))
+                order = np.argsort(doc, kind="stable")
+                doc, word, times, rare = doc[order], word[order], times[order], rare[order]
+            offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc[rare], minlength=n))]), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.arange(rid, rid + n), pa.int64()),
-                    pa.array([b.column(0)[k].as_py() for b, k in places], pa.int64()),
-                    pa.array([b.column(1)[k].as_py() for b, k in places], pa.bool_()),
-                    pa.array([len(t) for t in texts], pa.int64()),
+                    pa.array([b.column(0)[k].as_py() for b, k in t.places], pa.int64()),
+                    pa.array([b.column(1)[k].as_py() for b, k in t.places], pa.bool_()),
+                    pa.array(t.sizes + 1, pa.int64()),
                     pa.array(head, pa.int64()),
                     pa.array(plain, pa.float64()),
                     pa.array(score, pa.float64()),
-                    pa.array([list(c) for c in rare], pa.list_(pa.binary())),
-                    pa.array([list(c.values()) for c in rare], pa.list_(pa.int64())),
+                    pa.ListArray.from_arrays(offsets, pa.array(word[rare], pa.int64())),
+                    pa.ListArray.from_arrays(offsets, pa.array(times[rare], pa.int64())),
                 ],
                 [f.split()[0] for f in SCORED.split(", ")],
             )
             rid += n
 
-    return docs.select(F.col("doc_id").cast("bigint"), held_out(F.col("doc_id")), F.col("text").cast("string")).mapInArrow(run, SCORED)
+    return docs.select(F.col("doc_id").cast("bigint"), held_out(F.col("doc_id")), F.col("text").cast("string").cast("binary")).mapInArrow(run, SCORED)
 
 
-def score(docs: DataFrame, head: int = 1 << 17, rounds: int = 2, rate: float = 0.3) -> DataFrame:
+def score(docs: DataFrame, head: int = 1 << 17, rounds: int = 2, rate: float = 0.3, most_rows: int = 1 << 16) -> DataFrame:
     """Scores of all rows of (doc_id, text), learned from the rows that are not held out.
 
     Null text counts as empty and is the end alone. A null doc_id is held out. Repeated rows count and are scored each
     on its own. Without training rows every word is unknown: the base is uniform and the model gives its one class.
     An empty table gives no rows. Other columns are ignored.
+
+    rounds: passes over all training rows. head: how many frequent words have a place in the model of their own; all
+    others are told apart by their counts alone. most_rows: where the table of word rows stops to grow (65,536 at most). How rows are
+    dealt into files decides which steps are averaged, so scores differ a little between layouts of the same rows.
     """
     sc = docs.sparkSession.sparkContext
     training = docs.where(~held_out(F.col("doc_id")))
     counts = stored(counted(training), "counts")
-    v = vocabulary(counts, head)
+    v = vocabulary(counts, head, most_rows)
     voc = sc.broadcast(v)
-    weights = np.zeros((ROWS, CLASSES), np.float32)
-    for k in range(rounds):  # each round takes its share of the training rows
-        part = training.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == k)
-        weights = train_round(part, voc, sc.broadcast(weights), rate)
-    rows = stored(score_frequent(docs, voc, sc.broadcast(weights)), "scored")
+    weights = np.zeros((v.rows, CLASSES), np.float32)
+    for k in range(rounds):
+        shared = sc.broadcast(weights)
+        weights = train_round(training, voc, shared, rate / (k + 1))
+        shared.unpersist()
+    shared = sc.broadcast(weights)
+    rows = stored(score_frequent(docs, voc, shared), "scored")
+    shared.unpersist()
+    voc.unpersist()
     rare = rows.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("rid", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     c = F.coalesce("c", F.lit(0))
     below = math.log10(v.tokens + 0.1 * (v.distinct + 1))

@@ -1,7 +1,10 @@
-"""Word shingle sets of whole texts as 64-bit hashes, by numpy over the bytes."""
+"""Words and word shingle sets of whole texts as 64-bit hashes, by numpy over the bytes."""
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 import numpy as np
 
 #: Fixed value: the bytes between words (space and \\t to \\r).
@@ -10,9 +13,12 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_CHUNK = 1 << 16
+#: Words of more bytes are hashed by a digest, so that arrays stay small whatever the text.
+_LONG, _SLICE = 1 << 16, 1 << 20
+_LONG_WORD = re.compile(rb"[^\x20\x09-\x0D]{%d,}" % (_LONG + 1))
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 with np.errstate(over="ignore"):
-    _POWERS = np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(_CHUNK, _BASE, np.uint64))])
+    _POWERS = np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(_LONG, _BASE, np.uint64))])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -22,25 +28,54 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """A hash for each word of the text, A-Z lower-cased, in order."""
+def _slice_words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and first bytes' places of the words of a text without long words."""
     data = _LOWER[np.frombuffer(text, np.uint8)]
     space = np.ones(len(data) + 2, bool)
     space[1:-1] = _SPACE[data]
     edge = np.flatnonzero(space[1:] != space[:-1])
     begin, end = edge[::2], edge[1::2]
     if not len(begin):
-        return np.zeros(0, np.uint64)
-    size = end - begin
+        return np.zeros(0, np.uint64), begin
     # Letters weighted by powers of their place in the word, summed over each word.
-    place = np.arange(len(data)) - np.repeat(np.append(0, begin), np.diff(np.concatenate([[0], begin, [len(data)]])))
-    value = data.astype(np.uint64) + np.uint64(1)
-    if len(data) > _CHUNK:
-        value = mix(value + (place // _CHUNK).astype(np.uint64) * _BASE)
-        place %= _CHUNK
-    value *= _POWERS[place]
-    value[space[1:-1]] = 0
-    return mix(np.add.reduceat(value, begin) + size.astype(np.uint64))
+    letters = np.flatnonzero(~space[1:-1])
+    size = end - begin
+    at = np.cumsum(size) - size
+    place = np.arange(len(letters)) - np.repeat(at, size)
+    value = (data[letters].astype(np.uint64) + np.uint64(1)) * _POWERS[place]
+    return mix(np.add.reduceat(value, at) + size.astype(np.uint64)), begin
+
+
+def words_at(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for each word of the text, A-Z lower-cased, in order, and where each begins.
+
+    The text is worked through in slices of about a megabyte that end between words.
+    """
+    hashes, places, at = [], [], 0
+
+    def plain(end: int) -> None:
+        nonlocal at
+        while at < end:
+            gap = _GAP.search(text, at + _SLICE, end) if end - at > _SLICE else None
+            cut = gap.start() if gap else end
+            h, b = _slice_words(text[at:cut])
+            hashes.append(h)
+            places.append(b + at)
+            at = cut
+
+    for word in _LONG_WORD.finditer(text) if len(text) > _LONG else ():
+        plain(word.start())
+        hashes.append(np.frombuffer(hashlib.blake2b(word[0].lower(), digest_size=8).digest(), np.uint64))
+        places.append(np.array([word.start()]))
+        at = word.end()
+    plain(len(text))
+    if len(hashes) == 1:
+        return hashes[0], places[0]
+    return np.concatenate([np.zeros(0, np.uint64), *hashes]), np.concatenate([np.zeros(0, np.int64), *places])
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    return words_at(text)[0]
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:

@@ -331,24 +331,75 @@ def test_language_model_is_a_distribution(spark):
     counts = lm.counted(df)
     voc = lm.vocabulary(counts, 1000)
     inside = np.zeros(lm.CLASSES)
-    for k, w in enumerate(voc.words):
+    for k in range(len(voc.words)):
         inside[voc.classes[k]] += 10 ** voc.inside[k]
     used = np.unique(voc.classes)
     assert inside[used] == pytest.approx(1.0)
-    rare = [x["c"] for x in counts.collect() if bytes(x["word"]) not in set(voc.words)]
+    rare = [x["c"] for x in counts.collect() if x["word"] not in set(voc.words.tolist())]
     assert len(rare) == voc.rare_words and sum(rare) == voc.rare_total
     if rare:
         assert sum(x - voc.discount for x in rare) / voc.rare_total + voc.discount * voc.rare_words / voc.rare_total == pytest.approx(1.0)
 
 
+def trained(spark, df, rounds=1, head=1000):
+    sc = spark.sparkContext
+    voc = sc.broadcast(lm.vocabulary(lm.counted(df), head))
+    weights = np.zeros((voc.value.rows, lm.CLASSES), np.float32)
+    for _ in range(rounds):
+        weights = lm.train_round(df, voc, sc.broadcast(weights), 0.3)
+    return voc.value, weights
+
+
 def test_language_model_trains_all_templates(spark):
     """One short document moves the weights of all four feature templates."""
-    df = docs(spark, [(1, "the cat sat on the mat and the dog lay on the rug")])
-    sc = spark.sparkContext
-    voc = sc.broadcast(lm.vocabulary(lm.counted(df), 1000))
-    weights = lm.train_round(df, voc, sc.broadcast(np.zeros((lm.ROWS, lm.CLASSES), np.float32)), 0.3)
-    ends = np.cumsum([lm.ROWS_WORD, lm.ROWS_WORD, lm.ROWS_PAIR, lm.ROWS_PAIR])
-    assert all(np.abs(weights[end - size : end]).max() > 0 for end, size in zip(ends, [lm.ROWS_WORD, lm.ROWS_WORD, lm.ROWS_PAIR, lm.ROWS_PAIR]))
+    v, weights = trained(spark, docs(spark, [(1, "the cat sat on the mat and the dog lay on the rug")]))
+    sizes = [v.rows_word, v.rows_word, lm.ROWS_PAIR, lm.ROWS_PAIR]
+    assert all(np.abs(weights[end - size : end]).max() > 0 for end, size in zip(np.cumsum(sizes), sizes))
+
+
+def test_language_model_scores_by_brute_force(spark):
+    """Scores of whole texts equal sums taken word by word from the weights, and a second round fits better."""
+    rows = [(i, " ".join("the cat sat on a mat while dogs ran by".split()[: 2 + i % 8]) + (" odd%d" % i if i % 3 == 0 else "")) for i in range(1, 40)]
+    df = docs(spark, rows)
+    v, weights = trained(spark, df)
+    counts = {x["word"]: x["c"] for x in lm.counted(df).collect()}
+    ids = lm.Ids(v)
+    rank = {w: k for k, w in enumerate(v.words.tolist())}
+
+    def place(w):
+        return rank.get(w, ids.known + w % 2**64 % lm.RARE)
+
+    def one(text):
+        words = [int(lm.words_at(w.encode())[0].view(np.int64)[0]) for w in text.split()] + [lm.END]
+        seen, total = [ids.pad] * lm.PAD + [place(w) for w in words], 0.0
+        for k, w in enumerate(words, lm.PAD):
+            back = [seen[k - j] for j in (1, 2, 3, 4)]
+            h = [x * 2654435761 % 4294967291 % v.rows_word for x in back]
+            c = [int(ids.classes[x]) for x in back]
+            at = [h[0], v.rows_word + h[1], 2 * v.rows_word + c[0] * 64 + c[1], 2 * v.rows_word + 4096 + c[2] * 64 + c[3]]
+            z = v.prior + sum(weights[a].astype(float) for a in at)
+            total += math.log10(math.exp(z[ids.classes[seen[k]]]) / np.exp(z).sum())
+            total += v.inside[rank[w]] if w in rank else math.log10((counts[w] - v.discount) / v.rare_total)
+        return total
+
+    def whole(text, weights):
+        sc = spark.sparkContext
+        got = lm.score_frequent(docs(spark, [(1, text)]), sc.broadcast(v), sc.broadcast(weights)).collect()[0]
+        return got["score"] + sum(n * math.log10((counts[w] - v.discount) / v.rare_total) for w, n in zip(got["rare"], got["times"]))
+
+    for i in (3, 8, 9):
+        assert whole(rows[i - 1][1], weights) == pytest.approx(one(rows[i - 1][1]), rel=1e-4)
+    _, more = trained(spark, df, rounds=2)
+    assert sum(whole(t, more) for _, t in rows[:6]) > sum(whole(t, weights) for _, t in rows[:6])
+
+
+def test_language_model_row_sums():
+    r = np.random.default_rng(3)
+    rows = r.integers(0, 40, 500).astype(np.int32)
+    p = r.normal(size=(500, 8)).astype(np.float32)
+    to, sums, seen = lm.row_sums(p, rows)
+    for a, s, n in zip(to, sums, seen):
+        assert n == (rows == a).sum() and s == pytest.approx(p[rows == a].sum(axis=0), abs=1e-4)
 
 
 def test_language_model_frequent_words_have_a_class_each(spark):
@@ -356,3 +407,11 @@ def test_language_model_frequent_words_have_a_class_each(spark):
     df = docs(spark, [(i, " ".join("w%d" % k for k in range(40) for _ in range(40 - k))) for i in range(3)])
     voc = lm.vocabulary(lm.counted(df), 1000)
     assert lm.CLASSES == 64 and np.bincount(voc.classes, minlength=64)[1:32].tolist() == [1] * 31
+
+
+def test_words_of_long_texts():
+    """Slices and digests of long words change nothing but the hash of a word of over 65,536 bytes, equal words still equal."""
+    text = ("Some words, " * 200_000 + "X" * 70_000 + " end " + "x" * 70_000).encode()
+    h, at = lm.words_at(text)
+    assert len(h) == len(text.split()) and at.tolist() == [m.start() for m in re.finditer(rb"[^\x20\x09-\x0D]+", text)]
+    assert len(np.unique(h)) == 4 and h[-1] == h[-3] and (h[:2] == lm.words_at(b"some WORDS,")[0]).all()
