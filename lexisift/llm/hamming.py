@@ -1,25 +1,28 @@
 """Exact top-k search over binary codes by multi-index hashing with growing radii.
 
-A vector's code has one bit for each dimension, whether the value is positive. A code is cut into segments; each has a
-table from value to codes. A code within distance r of a query is within r // segments in some segment, so probing
-every segment's values at radius 0, 1, 2, ... finds all codes up to segments * (radius + 1) - 1. A query grows its
-radius until its k-th verified distance is not beyond what is covered.
-
-Rows and queries are dealt into blocks of bounded size; each pair of blocks is searched on its own, and the results
-of a query are merged. Equal codes are searched as one and keep only their k smallest ids.
+A vector's code has one bit for each dimension, whether the value is positive. A code is cut into segments of about as
+many bits as the block's codes need to be told apart; each segment has a table from value to codes. A code within
+distance r of a query is within r // segments in some segment, so probing every segment's values at radius 0, 1, 2, ...
+finds all codes up to segments * (radius + 1) - 1. A query grows its radius until its k-th verified distance is not
+beyond what is covered; nothing else ends the search.
+
+Rows are dealt into blocks of bounded size. A block's index is built once and the queries stream past it as codes of
+a few bytes; the k best of each query and block are merged. Equal codes are searched as one and keep only their k
+smallest ids.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
-from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-FOUND = "query_id bigint, vec_id bigint, distance int"
+FOUND = "query_id bigint, query bigint, vec_id bigint, distance int"
 
 
 def codes(vectors: np.ndarray) -> np.ndarray:
@@ -29,12 +32,23 @@ def codes(vectors: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.pad(bits, ((0, 0), (0, wide)))).view(np.uint64)
 
 
+def segments(dims: int, width: float) -> list[tuple[int, int]]:
+    """(first bit, bits) of segments of about ``width`` bits, none across two words."""
+    out = []
+    for word in range(0, dims, 64):
+        bits = min(64, dims - word)
+        parts = max(1, round(bits / width))
+        ends = [bits * i // parts for i in range(parts + 1)]
+        out += [(word + a, b - a) for a, b in zip(ends, ends[1:])]
+    return out
+
+
 class Index:
-    """Multi-index hash tables over distinct codes."""
+    """Multi-index hash tables over distinct codes. width: bits of a segment, by default what tells the codes apart."""
 
-    def __init__(self, words: np.ndarray, dims: int, width: int):
+    def __init__(self, words: np.ndarray, dims: int, width: float | None = None):
         self.words = words
-        self.cuts = [(a, min(width, dims - a)) for a in range(0, dims, width)]
+        self.cuts = segments(dims, width or min(max(np.log2(max(len(words), 1)), 4.0), 22.0))
         self.tables = []
         for a, n in self.cuts:
             v = self.segment(words, a, n)
@@ -44,7 +58,7 @@ class Index:
 
     @staticmethod
     def segment(words: np.ndarray, a: int, n: int) -> np.ndarray:
-        """Bits ``a`` to ``a + n`` of each code; segments do not cross words (widths divide 64)."""
+        """Bits ``a`` to ``a + n`` of each code."""
         return ((words[:, a // 64] >> np.uint64(a % 64)) & np.uint64((1 << n) - 1)).astype(np.int64)
 
     def flips(self, n: int, r: int) -> np.ndarray:
@@ -53,94 +67,140 @@ class Index:
             self.masks[n, r] = np.array([sum(1 << i for i in c) for c in combinations(range(n), r)], np.int64)
         return self.masks[n, r]
 
-    def search(self, query: np.ndarray, k: int, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The codes that hold the k nearest rows, ties at the k-th distance included, and their distances.
-
-        weight: how many rows each code stands for (k at most).
+    def probed(self, asked: np.ndarray, who: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, code) of all codes that differ from one of the queries ``who`` by ``radius`` bits in a segment."""
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for (a, n), (order, start) in zip(self.cuts, self.tables):
+            if radius <= n:
+                v = self.segment(asked[who], a, n)[:, None] ^ self.flips(n, radius)[None]
+                low, size = start[v], start[v + 1] - start[v]
+                hit = size > 0
+                low, size, by = low[hit], size[hit], np.nonzero(hit)[0]
+                found.append((np.repeat(who[by], size), order[np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())]))
+        return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+
+    def search(self, asked: np.ndarray, k: int, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(query, code, distance) of the codes that hold the k nearest rows of each query, and each query's last radius.
+
+        Ties at the k-th distance are all there. weight: how many rows each code stands for (k at most).
         """
-        found = np.zeros(0, np.int64)
-        distance = np.zeros(0, np.int64)
-        met = np.zeros(len(self.words), bool)
+        open_ = np.arange(len(asked))
+        last, worst = np.zeros(len(asked), np.int64), np.full(len(asked), 1 << 30)
+        who, code, far = (np.zeros(0, np.int64) for _ in range(3))
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(who, code, far)]
         widest = max(n for _, n in self.cuts)
         for radius in range(widest + 1):
-            probes = sum(comb(n, radius) for _, n in self.cuts if radius <= n)
-            if probes > 2 * len(self.words):  # as many probes as codes: verify all that is left at once
-                new = np.flatnonzero(~met)
-                covered = 1 << 30
-            else:
-                parts = []
-                for (a, n), (order, start) in zip(self.cuts, self.tables):
-                    if radius <= n:
-                        v = self.segment(query[None], a, n)[0] ^ self.flips(n, radius)
-                        low, size = start[v], start[v + 1] - start[v]
-                        low, size = low[size > 0], size[size > 0]
-                        if len(low):
-                            parts.append(order[np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())])
-                new = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
-                new = new[~met[new]]
-                covered = len(self.cuts) * (radius + 1) - 1
-            met[new] = True
-            found = np.concatenate([found, new])
-            distance = np.concatenate([distance, np.bitwise_count(self.words[new] ^ query).sum(axis=1, dtype=np.int64)])
-            order = np.argsort(distance, kind="stable")
-            total = np.cumsum(weight[found[order]])
-            at = int(np.searchsorted(total, k))
-            last = distance[order[at]] if at < len(order) else 1 << 29
-            if last <= covered:
-                near = distance <= last
-                return found[near], distance[near]
-            if covered >= 1 << 30:
+            q, c = self.probed(asked, open_, radius)
+            d = np.bitwise_count(self.words[c] ^ asked[q]).sum(axis=1, dtype=np.int64)
+            use = d <= worst[q]
+            key, first = np.unique(np.concatenate([who * len(self.words) + code, q[use] * len(self.words) + c[use]]), return_index=True)
+            who, code, far = key // len(self.words), key % len(self.words), np.concatenate([far, d[use]])[first]
+            order = np.lexsort((far, who))
+            who, code, far = who[order], code[order], far[order]
+            total = np.cumsum(weight[code])
+            begin = np.searchsorted(who, open_)
+            before = np.concatenate([[0], total])[begin]
+            at = np.searchsorted(total, before + k)  # where the k-th row of each open query lies, if it has so many
+            enough = (at < np.searchsorted(who, open_, side="right")) & (before + k <= (total[-1] if len(total) else 0))
+            worst[open_[enough]] = far[at[enough]]
+            keep = far <= worst[who]
+            who, code, far = who[keep], code[keep], far[keep]
+            last[open_] = radius
+            closed = worst[open_] <= len(self.cuts) * (radius + 1) - 1
+            if radius == widest:
+                closed[:] = True  # every value of every segment has been probed
+            ends = np.isin(who, open_[closed])
+            done.append((who[ends], code[ends], far[ends]))
+            who, code, far, open_ = who[~ends], code[~ends], far[~ends], open_[~closed]
+            if not len(open_):
                 break
-        return found, distance
-
-
-def search_block(rows: pa.Table, asked: pa.Table, k: int, width: int) -> pa.Table:
-    """The k nearest of ``rows`` for each of ``asked`` (both id, vector), ties to the smaller id."""
-    empty = pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.int32())], ["query_id", "vec_id", "distance"])
-    if not rows.num_rows or not asked.num_rows:
-        return empty
-    dims = len(rows["vector"][0])
-    matrix = lambda t: np.asarray(t["vector"].combine_chunks().flatten()).reshape(t.num_rows, -1)
-    ids = rows["id"].to_numpy()
-    order = np.argsort(ids, kind="stable")
-    ids = ids[order]
-    words, which = np.unique(codes(matrix(rows))[order], axis=0, return_inverse=True)
-    which = which.ravel()
-    by_code = np.argsort(which, kind="stable")  # within a code, ids grow
-    start = np.concatenate([[0], np.cumsum(np.bincount(which, minlength=len(words)))])
-    weight = np.minimum(np.diff(start), k)
-    index = Index(words, dims, width)
-    out: tuple[list, list, list] = ([], [], [])
-    for q, code in zip(asked["id"].to_numpy(), codes(matrix(asked))):
-        near, distance = index.search(code, k, weight)
-        each = weight[near]
-        at = np.repeat(start[near] - np.cumsum(each) + each, each) + np.arange(each.sum())
-        vec, far = ids[by_code[at]], np.repeat(distance, each)
-        first = np.lexsort((vec, far))[:k]
-        out[0].append(np.full(len(first), q))
-        out[1].append(vec[first])
-        out[2].append(far[first])
-    return pa.table([pa.array(np.concatenate(out[0]), pa.int64()), pa.array(np.concatenate(out[1]), pa.int64()), pa.array(np.concatenate(out[2]), pa.int32())], empty.column_names)
-
-
-def nearest(rows: DataFrame, asked: DataFrame, k: int = 10, width: int = 16, row_block: int = 1 << 16, query_block: int = 2048) -> DataFrame:
+        return *(np.concatenate([x[i] for x in done]) for i in range(3)), last
+
+
+class Block:
+    """The rows of a block with codes of one length, and their index."""
+
+    def __init__(self, ids: np.ndarray, words: np.ndarray, dims: int, k: int, width: float | None):
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.k = ids[order], k
+        distinct, which = np.unique(words[order], axis=0, return_inverse=True)
+        which = which.ravel()
+        self.by_code = np.argsort(which, kind="stable")  # within a code, ids grow
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(which, minlength=len(distinct)))])
+        self.weight = np.minimum(np.diff(self.start), k)
+        self.index = Index(distinct, dims, width)
+
+    def nearest(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, id, distance) of the k nearest rows of each of ``asked``, ties to the smaller id."""
+        who, code, far, _ = self.index.search(asked, self.k, self.weight)
+        each = self.weight[code]
+        at = np.repeat(self.start[code] - np.cumsum(each) + each, each) + np.arange(each.sum())
+        who, far, ids = np.repeat(who, each), np.repeat(far, each), self.ids[self.by_code[at]]
+        order = np.lexsort((ids, far, who))
+        who, far, ids = who[order], far[order], ids[order]
+        first = np.arange(len(who)) - np.searchsorted(who, who) < self.k
+        return who[first], ids[first], far[first]
+
+
+def coded(df: DataFrame) -> DataFrame:
+    """(id, dims, code) of the usable rows of (vec_id, embedding); the code is a few bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column(1).value_lengths()
+            for dims in pc.unique(sizes).to_pylist():
+                part = batch.filter(pc.equal(sizes, dims))
+                found = codes(np.asarray(part.column(1).flatten()).reshape(part.num_rows, dims))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.full(len(found), dims), pa.int32()), pa.array([c.tobytes() for c in found], pa.binary())], ["id", "dims", "code"])
+
+    usable = df.where("vec_id is not null and size(embedding) > 0 and not exists(embedding, x -> x is null)")
+    return usable.select(F.col("vec_id").cast("bigint").alias("id"), F.transform("embedding", lambda x: x.cast("float")).alias("vector")).mapInArrow(run, "id bigint, dims int, code binary")
+
+
+def nearest(rows: DataFrame, asked: DataFrame, k: int = 10, width: float | None = None, row_block: int = 1 << 18, least_block: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, distance): the k rows of smallest Hamming distance for each of ``asked`` (both vec_id, embedding).
 
     Distances are verified and exact; ties go to the smaller vec_id; a row finds itself. Rows with a null id, a null or
     empty vector or a vector with null values take no part, and vectors are compared with those of their own length.
-    Rows with fewer than k partners give fewer rows. Repeated rows take a place each. Empty tables give no rows.
+    Rows with fewer than k partners give fewer rows. Repeated rows take a place each; a query that is repeated with the
+    same vector is asked once. Empty tables give no rows. Columns besides vec_id and embedding are ignored.
+
+    A block holds ``row_block`` rows or fewer; inputs of few rows have smaller ones, down to ``least_block``, so that
+    all cores have one.
     """
-    usable = lambda d: d.where("vec_id is not null and size(embedding) > 0 and not exists(embedding, x -> x is null)").select(F.col("vec_id").cast("bigint").alias("id"), F.transform("embedding", lambda x: x.cast("float")).alias("vector"))
-    blocks, parts = max(1, -(-rows.count() // row_block)), max(1, -(-asked.count() // query_block))
-    deal = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int")
-    size = F.size("vector").alias("dims")
-    left = usable(rows).select("id", "vector", size, deal(blocks, 1).alias("row_block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    right = usable(asked).select("id", "vector", size, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("row_block"), deal(parts, 2).alias("part"))
-    keys = ["dims", "row_block", "part"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(lambda a, b: search_block(a, b, k, width), FOUND)
-    # k rows for each query and block come together.
-    ranked = found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("distance", "vec_id"))), 1, k).alias("top"))
-    return ranked.select("query_id", F.posexplode("top").alias("rank", "x")).select("query_id", (F.col("rank") + 1).cast("bigint").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.distance").cast("bigint").alias("distance"))
+    n = rows.count()
+    blocks = max(1, -(-n // row_block), min(-(-n // least_block), 2 * rows.sparkSession.sparkContext.defaultParallelism))
+    left = coded(rows).select(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), "dims", F.lit(False).alias("asked"), "id", "code")
+    right = coded(asked).dropDuplicates(["id", "dims", "code"]).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "dims", F.lit(True).alias("asked"), "id", "code")
+    # In a partition a block's rows come before its queries.
+    dealt = left.union(right).repartition(blocks, "block").sortWithinPartitions("block", "dims", "asked")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, block, held = None, None, []
+        for batch in batches:
+            key = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False).astype(np.int32)])
+            ends = [*np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, batch.num_rows]
+            for a, b in zip([0, *ends], ends):
+                of, is_query = (int(key[0, a]), int(key[1, a])), bool(key[2, a])
+                if of != here:
+                    here, block, held = of, None, []
+                words = np.frombuffer(b"".join(batch.column(4).slice(a, b - a).to_pylist()), np.uint64).reshape(b - a, -1)
+                ids = batch.column(3).slice(a, b - a).to_numpy()
+                if not is_query:
+                    held.append((ids, words))
+                    continue
+                if held:
+                    block = Block(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]), of[1], k, width)
+                    held = []
+                for i in range(0, len(ids) if block else 0, 64):
+                    who, near, far = block.nearest(words[i : i + 64])
+                    # A query is known by its id and its code.
+                    name = np.bitwise_xor.reduce(words[i : i + 64] * (2 * np.arange(1, words.shape[1] + 1, dtype=np.uint64) + np.uint64(1)), axis=1).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 64][who]), pa.array(name[who]), pa.array(near, pa.int64()), pa.array(far, pa.int32())], ["query_id", "query", "vec_id", "distance"])
+
+    order = Window.partitionBy("query_id", "query").orderBy("distance", "vec_id")
+    ranked = dealt.mapInArrow(run, FOUND).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("query_id", F.col("rank").cast("bigint").alias("rank"), "vec_id", F.col("distance").cast("bigint").alias("distance"))
 
 
 #: The same by brute force.
