@@ -8,7 +8,9 @@ similarity s shares a table with probability (1 - (1 - s ** width) ** blocks) **
 Documents with equal sets form one class; only one of each class goes on. Candidates are then confirmed on the sets:
 
 1. Every class is compared with the centre of its tables, the member that shares the most large tables with others;
-   that costs one comparison for each class, however large a table is. Linked classes join one component.
+   that costs one comparison for each class, however large a table is. Linked classes join one component. Where a
+   crowd is left that is not linked to its centre, it gets a centre of its own and the step is repeated, as long as
+   that finds links.
 2. In tables that still hold several components, each member x is compared with the table's centre c, which leaves the
    difference D(x) between x and c. Two members reach the similarity only if their differences share many elements,
    the more the longer the differences are; so x can only be linked to a member that shares one of the rarest elements
@@ -132,9 +134,9 @@ def centred(tables: DataFrame) -> DataFrame:
     return sized.join(top, "key").select("key", "rep", "comp", F.col("top.score").alias("score"), (-F.col("top.lower")).alias("centre"), F.col("top.comp").alias("centre_comp"))
 
 
-def star_pairs(tables: DataFrame) -> DataFrame:
-    """One pair (a, b) for each member a: the centre with which it shares the most tables."""
-    met = centred(tables).where("comp <> centre_comp")
+def star_pairs(met: DataFrame) -> DataFrame:
+    """One pair (a, b) for each member a of other component than its centres: the centre with which it shares the most tables."""
+    met = met.where("comp <> centre_comp")
     shared = met.groupBy("rep", "centre").agg(F.count("*").alias("n"), F.max("score").alias("score"))
     best = shared.groupBy(F.col("rep").alias("a")).agg(F.max(F.struct("n", "score", (-F.col("centre")).alias("lower"))).alias("best"))
     return best.select("a", (-F.col("best.lower")).alias("b"))
@@ -157,11 +159,16 @@ def rare_pairs(met: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
     first = ordered.select("a", "b", "comp", "linked", "size", "d", (F.col("d") - F.size("es")).alias("alone"), F.posexplode("es").alias("i", "x"))
     first = first.withColumn("at", F.col("alone") + F.col("i")).where(F.col("at") <= F.col("size") * (100 - percent) / percent)
     first = stored(first.select("a", "b", "comp", "linked", "size", "d", (F.col("d") - F.col("at")).alias("left"), F.col("x.e").alias("e")), "prefixes")
-    x, y = first.alias("x"), first.alias("y")
+    y = first.alias("y")
+    # Components meet first, then their members: those of one component that share an element never face each other.
+    kinds = first.select("b", "e", "comp").distinct()
+    mixed = kinds.join(kinds.groupBy("b", "e").agg(F.count("*").alias("n")).where("n > 1"), ["b", "e"]).select("b", "e", "comp")
+    meeting = mixed.alias("k").join(mixed.withColumnRenamed("comp", "other").alias("o"), ["b", "e"]).where("comp < other").select("b", "e", "comp", "other")
+    x = meeting.join(first, ["b", "e", "comp"]).alias("x")
     near = (
         (F.col("x.b") == F.col("y.b"))
         & (F.col("x.e") == F.col("y.e"))
-        & (F.col("x.comp") < F.col("y.comp"))
+        & (F.col("x.other") == F.col("y.comp"))
         & ~(F.col("x.linked") & F.col("y.linked"))
         & (100 * F.least("x.size", "y.size") >= percent * F.greatest("x.size", "y.size"))
         & ((100 + percent) * (F.col("x.d") + F.col("y.d")) - (100 - percent) * (F.col("x.size") + F.col("y.size")) <= 2 * (100 + percent) * F.least("x.left", "y.left"))
@@ -169,6 +176,35 @@ def rare_pairs(met: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
     return x.join(y, near).select(F.col("x.a").alias("a"), F.col("y.a").alias("b")).distinct()
 
 
+#: A table whose unlinked rest has no more members than this may form all their pairs.
+CROWD = 16
+
+
+def star_links(tables: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) to the centres of ``tables`` (key, rep), and the components (node, label) these make.
+
+    Members that are not linked to a table's centre get a new centre among themselves while they are a crowd, unless
+    the last round linked less than an eighth of what it compared: then they are alike to few others.
+    """
+    rest, links, labels = tables.select("key", "rep"), None, nodes.select("node", F.col("node").alias("label"))
+    while True:
+        label = labels.select(F.col("node").alias("rep"), F.col("label").alias("comp"))
+        met = stored(centred(rest.join(label, "rep")), "centres")
+        pairs = stored(compared(star_pairs(met), texts, words, percent).select("a", "b", "linked"), "stars")
+        new = pairs.where("linked").select("a", "b")
+        links = new if links is None else links.union(new)
+        labels = stored(components(nodes, links), "components")
+        seen = pairs.agg(F.count("*").alias("n"), F.count_if("linked").alias("linked")).first()
+        if seen["linked"] * 8 < seen["n"] or not seen["n"]:
+            return links, labels
+        label = labels.select(F.col("node").alias("rep"), F.col("label").alias("own"))
+        centre = labels.select(F.col("node").alias("centre"), F.col("label").alias("its"))
+        apart = met.select("key", "rep", "centre").join(label, "rep").join(centre, "centre").where("own <> its").select("key", "rep")
+        rest = stored(apart.join(apart.groupBy("key").count().where(F.col("count") > CROWD).select("key"), "key").select("key", "rep"), "rest")
+        if rest.isEmpty():
+            return links, labels
+
+
 def open_tables(tables: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``tables`` (key, rep) whose table holds several components, with the component."""
     labelled = tables.select("key", "rep").join(labels.select(F.col("node").alias("rep"), F.col("label").alias("comp")), "rep")
@@ -195,8 +231,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, width: i
     nodes = tables.select(F.col("rep").alias("node")).distinct()
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = stored(texts.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"), "texts")
-    links = stored(compared(star_pairs(tables.withColumn("comp", F.col("rep"))), texts, words, percent).where("linked").select("a", "b"), "confirmed")
-    labels = stored(components(nodes, links), "components")
+    links, labels = star_links(tables, nodes, texts, words, percent)
     left = open_tables(tables, labels)
     if not left.isEmpty():
         pairs = centred(left).where("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
