@@ -2,9 +2,9 @@
 
 A document's tokens (its ids and one end id) are first cut into full windows; what remains (shorter than a window) is
 packed by best-fit decreasing: longest first, each into the open window with the least room that still holds it. A
-segment tree over the remaining capacities finds that window in logarithmic time. Documents are dealt by hash into
-blocks of about ``block`` documents, each packed on its own, so memory is bounded and all blocks run in parallel; only
-one short row for each document is shuffled.
+segment tree over the remaining capacities finds that window in logarithmic time. Rows are dealt by a hash of their
+place into blocks of about ``block``, each packed on its own, so memory is bounded whatever rows repeat, and all blocks
+run in parallel; only one short row for each document is shuffled.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexisift.llm.bpe import codec
+from lexisift.llm.common import stored
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
@@ -85,14 +86,15 @@ class Ids:
 
         self.exact, self.end = codec(path), end
         c = self.exact
-        assert c.ids[256:] == sorted(c.ids[256:]), "the merges are not in the order of the ids"
+        if c.ids[256:] != sorted(c.ids[256:]):
+            raise ValueError("the merges are not in the order of the ids")
         self.plain = tiktoken.Encoding("packing", pat_str=c.find.__self__.pattern, mergeable_ranks={p: c.ids[k] for p, k in c.age.items()}, special_tokens=c.added)
 
     def __call__(self, text: str | None) -> np.ndarray:
         try:
             ids = self.plain.encode(text or "", allowed_special="all")
-        except BaseException as e:  # a panic of the splitter is no Exception
-            if isinstance(e, KeyboardInterrupt | SystemExit | MemoryError):
+        except BaseException as e:  # a panic of the splitter, which is no Exception and has no class to import
+            if type(e).__name__ != "PanicException":
                 raise
             ids = self.exact.encode(text)
         ids.append(self.end)
@@ -112,20 +114,21 @@ def tokens(docs: DataFrame, path: str, window: int = 1024, end: int = 0) -> Data
                 sums.append([zlib.crc32(ids[k : k + window].tobytes()) for k in range(0, len(ids), window)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sums, pa.list_(pa.int64()))], ["doc_id", "doc_tokens", "sums"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, doc_tokens bigint, sums array<bigint>")
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, doc_tokens bigint, sums array<bigint>")
 
 
 def pack(docs: DataFrame, path: str, window: int = 1024, end: int = 0, block: int = 8192) -> DataFrame:
     """Pieces of all rows of (doc_id, text), each with its place: sequence_id and offset.
 
     Null text counts as empty and is the end id alone. Repeated rows are packed each on their own; a null doc_id stays
-    null. Ties in length keep the order of doc_id, then of the checksums, so a rerun gives the same places. An empty
-    table gives no rows. Columns besides doc_id and text are ignored. Sequences are numbered block by block.
+    null. Ties in length keep the order of doc_id, then of the checksums. An empty table gives no rows. Columns besides
+    doc_id and text are ignored. Sequences are numbered block by block. Which rows share a block follows from how they
+    lie in the files, so the same files give the same places.
     """
-    rows = docs.count()
-    blocks = max(1, -(-rows // block))
-    found = tokens(docs, path, window, end)
-    dealt = found.withColumn("block", F.pmod(F.xxhash64("doc_id", "doc_tokens", F.element_at("sums", 1), F.lit(7)), F.lit(blocks)))
+    found = stored(tokens(docs, path, window, end), "tokens")
+    blocks = max(1, -(-found.count() // block))
+    # The place in the written table tells equal rows apart, and is the same when a task is run again.
+    dealt = found.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(7)), F.lit(blocks)))
 
     def place(group: pa.Table) -> pa.Table:
         group = group.append_column("first", pc.list_element(group["sums"].combine_chunks(), 0))
