@@ -28,11 +28,15 @@ def paired(convs: DataFrame) -> DataFrame:
 
     Within an opening, conversations are ordered by their longest assistant answer: of neighbours, the one with more
     to say is the chosen one. The opening may be common to very many conversations: they are first dealt by hash into
-    buckets of the opening, so no task holds all of them; each conversation is in at most one pair. One that has no
-    partner is compared with its own beginning: the rejected side lacks the last turn.
+    buckets of the opening, 256 or one for each 4,096 conversations, so no task holds all of them; each conversation is
+    in at most one pair. One that has no partner is compared with its own beginning: the rejected side lacks the last
+    turn. Rows without conv_id or with null or no turns are left out; of rows that repeat a conv_id the one with the
+    greatest list of turns counts. An empty table gives no rows; other columns are ignored.
     """
+    convs = convs.where("conv_id is not null and size(turns) > 0").groupBy("conv_id").agg(F.max("turns").alias("turns"))
+    buckets = max(256, -(-convs.select("conv_id").count() // 4096))
     n = F.aggregate(F.filter("turns", lambda t: t["role"] == "assistant"), F.lit(0).cast("bigint"), lambda a, t: F.greatest(a, F.length(t["text"]).cast("bigint")))
-    keyed = convs.select("conv_id", "turns", F.md5(F.concat_ws("|", F.element_at("turns", 1)["role"], F.element_at("turns", 1)["text"])).alias("opening"), F.substring(F.md5(F.col("conv_id").cast("string")), 1, 2).alias("bucket"), n.alias("said"))
+    keyed = convs.select("conv_id", "turns", F.md5(F.concat_ws("|", F.element_at("turns", 1)["role"], F.element_at("turns", 1)["text"])).alias("opening"), (F.conv(F.substring(F.md5(F.col("conv_id").cast("string")), 1, 8), 16, 10).cast("bigint") % buckets).alias("bucket"), n.alias("said"))
     order = Window.partitionBy("opening", "bucket").orderBy(F.desc("said"), "conv_id")
     slim = keyed.select("conv_id", "opening", "bucket", "said").withColumn("at", F.row_number().over(order) - 1)
     # Each opening's buckets hold an even number of partners but for the last, which stays alone.
@@ -79,7 +83,9 @@ def preferences(pairs: DataFrame) -> DataFrame:
 
     prompt is the common beginning, chosen_text and rejected_text the completions, chosen_spans and rejected_spans
     where these are trained on, prompt_turns the number of common turns. If one conversation is the beginning of the
-    other, its completion is empty. A null list of turns counts as empty.
+    other, its completion is empty. A null list of turns counts as empty; repeated pairs are formatted each on its own.
+    Texts are rendered as they are: one that holds an end mark itself keeps it, and spans, which follow from lengths,
+    are right all the same.
     """
     empty = F.array().cast("array<struct<role:string,text:string>>")
     safe = pairs.withColumn("chosen", F.coalesce("chosen", empty)).withColumn("rejected", F.coalesce("rejected", empty)).withColumn("prompt_turns", common_turns(F.col("chosen"), F.col("rejected")).cast("bigint"))
@@ -101,7 +107,7 @@ SQL = """
 WITH turn_rows AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
 numbered AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM turn_rows),
 convs AS (SELECT conv_id, count(*) AS n, max(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS said,
-  md5(max(CASE WHEN pos = 1 THEN role || '|' || text END)) AS opening, substr(md5(CAST(conv_id AS VARCHAR)), 1, 2) AS bucket FROM numbered GROUP BY conv_id),
+  md5(max(CASE WHEN pos = 1 THEN role || '|' || text END)) AS opening, CAST('0x' || substr(md5(CAST(conv_id AS VARCHAR)), 1, 8) AS BIGINT) % greatest(256, (count(*) OVER () + 4095) // 4096) AS bucket FROM numbered GROUP BY conv_id),
 placed AS (SELECT *, row_number() OVER (PARTITION BY opening, bucket ORDER BY said DESC, conv_id) - 1 AS place FROM convs),
 couples AS (SELECT opening, bucket, place // 2 AS couple, max(CASE WHEN place % 2 = 0 THEN conv_id END) AS c, max(CASE WHEN place % 2 = 1 THEN conv_id END) AS r FROM placed GROUP BY ALL),
 again AS (SELECT opening, c, row_number() OVER (PARTITION BY opening ORDER BY bucket) - 1 AS place FROM couples WHERE r IS NULL),
