@@ -3,6 +3,7 @@
 A pre-token is segmented into the vocabulary's tokens with the largest sum of scores. The best sum up to a byte depends
 on the bytes before it alone, so pre-tokens that share a prefix share its forward scores: each distinct pre-token goes
 into a trie, a node's score is computed once, and its terminal count (the tokens on the best path) is stored there.
+Pre-tokens of over ``LONG`` bytes share nothing worth a node: they are scored alone, in a ring of the last scores.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from lexisift.llm.bpe import PATTERN, byte_letters
 
 #: Scores are whole numbers of this part of a nat, so sums are exact.
 SCALE = 1_000_000
+LONG = 4096
 
 
 def scores(path: str) -> dict[bytes, int]:
@@ -33,7 +35,7 @@ def scores(path: str) -> dict[bytes, int]:
 
 
 class Trie:
-    """The trie of pre-tokens; it starts anew when it has grown to ``most`` nodes, which changes no count."""
+    """The trie of pre-tokens; it starts anew when it has grown to ``most`` nodes (and ``LONG`` at most), which changes no count."""
 
     def __init__(self, score: dict[bytes, int], most: int = 1_000_000):
         self.score, self.most = score, most
@@ -74,10 +76,31 @@ class Trie:
         byte.append(b)
         return new
 
+    def alone(self, data: bytes) -> int:
+        """The terminal count of a long pre-token, by the same scores in memory for one token's length."""
+        ring = self.longest + 1
+        best, count = [0] * ring, [0] * ring
+        for end in range(1, len(data) + 1):
+            top, least, at, ends = None, 0, end - 1, self.ends.get(data[end - 1])
+            while ends is not None:
+                s = ends.get(-1)
+                if s is not None:
+                    s += best[at % ring]
+                    if top is None or s > top or s == top and count[at % ring] + 1 < least:
+                        top, least = s, count[at % ring] + 1
+                if not at:
+                    break
+                at -= 1
+                ends = ends.get(data[at])
+            best[end % ring], count[end % ring] = top, least
+        return count[len(data) % ring]
+
     def tokens(self, word: str) -> int:
         """The terminal count of a pre-token."""
         n = self.words.get(word)
         if n is None:
+            if len(word) > LONG // 4 and len(data := word.encode("utf-8", "surrogatepass")) > LONG:
+                return self.alone(data)
             if len(self.best) > self.most:
                 self.clear()
             node, children = 0, self.children
