@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Fixed value: the public pattern that splits text before byte-level merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -209,7 +210,11 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
 
 
 def round_trip(df: DataFrame, path: str) -> DataFrame:
-    """For each row of (doc_id, text): counts and digests of the ids and of the text decoded from them."""
+    """For each row of (doc_id, text): counts and digests of the ids and of the text decoded from them.
+
+    Null text counts as empty: no ids, and the digests of nothing. A doc_id of any whole type is given as bigint, null
+    stays null. Repeated rows are coded each on their own; an empty table gives no rows; other columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
@@ -223,4 +228,4 @@ def round_trip(df: DataFrame, path: str) -> DataFrame:
                 texts.append(hashlib.sha256(c.decode(ids).encode("utf-8")).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(coded, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return df.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return df.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
