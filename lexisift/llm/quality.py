@@ -1,7 +1,8 @@
 """Document quality by a classifier combined with host and path posteriors, by hierarchical empirical Bayes.
 
 A logistic model over shape features of the whole text gives each document a probability. Grouped sums of these give
-each host (``source``) and each path in it (``source`` and ``lang``) a posterior mean: a host is shrunk toward the
+each host and each path in it a posterior mean (a table of documents without addresses has ``source`` as host, and
+its language section, ``lang``, stands in for the path; ``site_parts`` takes both from an address): a host is shrunk toward the
 global mean, a path toward its host, by as many pseudo-documents as the spread between groups calls for (method of
 moments). So sparse sites follow their prior and large ones their own documents. The log-odds of document and path
 then add up.
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexisift.llm.common import stored
+from lexisift.llm.common import fresh, stored
 
 #: Probabilities are summed as whole millionths, so sums do not depend on their order.
 UNIT = 1_000_000
@@ -75,9 +76,10 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, ridge: float = 1
     """A model of ``labels`` (doc_id, quality) on at most ``most`` labelled documents, taken in the order of a hash.
 
     That bound keeps the fit on the driver small whatever the input. Rows with null id or label do not count; several
-    labels of one document vote, ties are good. With one class or none at all, the model is its share (one half).
+    labels of one document vote, ties are good; of several rows with one doc_id that of the smallest features counts.
+    With one class or none at all, the model is its share (one half).
     """
-    votes = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg(F.col("quality").cast("double")) >= 0.5).cast("int").alias("good"))
+    votes = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg((F.avg(F.col("quality").cast("double")) >= 0.5).cast("int").alias("good"))
     chosen = votes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +87,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, ridge: float = 1
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([features(x.as_py()) for x in batch.column(2)], pa.list_(pa.float64()))], ["doc_id", "good", "x"])
 
     # At most ``most`` rows of two numbers: a proven bound for the broadcast.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "good", "text").mapInArrow(run, "doc_id bigint, good int, x array<double>").orderBy("doc_id").toPandas()
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "good", "text").mapInArrow(run, "doc_id bigint, good int, x array<double>").groupBy("doc_id", "good").agg(F.min("x").alias("x")).orderBy("doc_id").toPandas()
     y = rows["good"].to_numpy(float)
     if not len(y) or y.min() == y.max():
         return Model([], [], [], float(y.mean()) if len(y) else 0.5)
@@ -130,8 +132,10 @@ def pseudo_count(mean: float, groups: int, n: float, squares: float, spread: flo
     return float(min(max(within / max(between, 1e-9) - 1, 1.0), 10_000.0))
 
 
-def path_of(lang: str = "lang") -> Column:
-    return F.coalesce(F.col(lang), F.lit(""))
+def site_parts(url: Column) -> tuple[Column, Column]:
+    """Host and path (the first folder) of an address, empty where it has none."""
+    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+    return F.coalesce(host, F.lit("")), F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^/?#]*)/", 1), F.lit(""))
 
 
 def posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
@@ -139,7 +143,7 @@ def posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
 
     Only grouped sums are shuffled; a host of any size is pre-aggregated by the tasks that read it.
     """
-    path = stored(scored.groupBy(F.coalesce("source", F.lit("")).alias("host"), path_of().alias("path")).agg(F.count("*").alias("n"), F.sum("doc_score").alias("good")), "paths")
+    path = stored(scored.groupBy(F.coalesce("source", F.lit("")).alias("host"), F.coalesce("lang", F.lit("")).alias("path")).agg(F.count("*").alias("n"), F.sum("doc_score").alias("good")), "paths")
     host = path.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("good").alias("host_good"))
     whole = host.agg(F.sum("host_n").alias("n"), F.sum("host_good").alias("good"), F.count("*").alias("groups"), F.sum(F.col("host_n").cast("double") ** 2).alias("squares")).first()
     if not whole["n"]:
@@ -158,9 +162,10 @@ def combined(scored: DataFrame, sites: DataFrame, mean: float, threshold: float)
     """``scored`` with host_posterior, path_posterior, quality_score and keep. ``sites`` is joined by host and path."""
     clip = lambda p: F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6))
     odds = lambda p: F.ln(clip(p) / (1 - clip(p)))
-    sites = sites.select(F.col("host").alias("_host"), F.col("path").alias("_path"), "host_posterior", "path_posterior")
     out = scored.drop("host_posterior", "path_posterior", "quality_score", "keep")
-    out = out.join(sites, (F.coalesce(out["source"], F.lit("")) == sites["_host"]) & (F.coalesce(out["lang"], F.lit("")) == sites["_path"])).drop("_host", "_path")
+    host, path = fresh(out.columns, "site_host", "site_path")
+    sites = sites.select(F.col("host").alias(host), F.col("path").alias(path), "host_posterior", "path_posterior")
+    out = out.join(sites, (F.coalesce("source", F.lit("")) == F.col(host)) & (F.coalesce("lang", F.lit("")) == F.col(path))).drop(host, path)
     z = odds(F.col("doc_score") / UNIT) + odds(F.col("path_posterior")) - odds(F.lit(mean))
     score = F.round(1 / (1 + F.exp(-z)), 6)
     return out.withColumn("host_posterior", F.round("host_posterior", 6)).withColumn("path_posterior", F.round("path_posterior", 6)).withColumn("quality_score", score).withColumn("keep", score >= threshold)
@@ -182,10 +187,12 @@ def assess(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, most: int
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, most: int = 20_000) -> DataFrame:
     """The rows of ``docs`` that ``assess`` keeps, with the columns of ``docs`` alone.
 
-    Texts are read twice and scored twice rather than written or shuffled once more.
+    Texts are read twice and scored twice rather than written or shuffled once more. Nulls, repeats and empty tables
+    are treated as there; columns named like those that ``assess`` adds pass through.
     """
     model = fit(docs, labels, most)
-    own = {c: f"{c}__own" for c in docs.columns if c in ("doc_score", "host_posterior", "path_posterior", "quality_score", "keep")}
+    added = [c for c in docs.columns if c.lower() in ("doc_score", "host_posterior", "path_posterior", "quality_score", "keep")]
+    own = dict(zip(added, fresh(docs.columns, *(f"{c}_own" for c in added))))
     scored = evidence(docs.withColumnsRenamed(own), model)
     sites, mean = posteriors(evidence(docs.select("source", "lang", "text"), model).drop("text"))
     kept = combined(scored, stored(sites, "sites"), mean, threshold).where("keep")
