@@ -10,69 +10,89 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexisift.llm.common import stored
-
-
-#: The part that shared lines have in the characters of a document and its copy, both counted once.
-COPY = 0.9
+from lexisift.llm.common import fresh, stored
 
 
 def line_hash(line: Column) -> Column:
     return F.xxhash64(F.trim(line))
 
 
-def spread_lines(docs: DataFrame, sites: int, site: str = "source", lg_k: int = 12, margin: float = 0.3) -> DataFrame:
-    """(h, first_doc, first_size) for each line hash on at least ``sites`` distinct sites; ``margin`` bounds what counts as near.
+def line_words(line: Column) -> Column:
+    return F.size(F.split(F.trim(line), r"[\x20\x09-\x0D]+"))
+
+
+def own_lines(text: Column) -> Column:
+    """The distinct lines of a text that are not blank."""
+    return F.filter(F.array_distinct(F.split(text, "\n")), lambda x: F.trim(x) != "")
 
-    Blank lines and null sites do not count. first_doc is the smallest doc_id with the line, first_size its characters.
+
+def spread_lines(docs: DataFrame, sites: int, site: str = "source", lg_k: int = 12, margin: float = 0.3, sizes: bool = False) -> DataFrame:
+    """(h, first) for each line hash on at least ``sites`` distinct sites; ``margin`` bounds what counts as near.
+
+    Blank lines and null sites do not count. first.doc_id is the smallest doc_id with the line; with ``sizes``,
+    first.words and first.lines are the words and the number of that document's distinct lines.
     """
-    lines = docs.select("doc_id", F.col(site).alias("site"), F.length("text").alias("size"), F.explode(F.split("text", "\n")).alias("line")).where(F.trim("line") != "")
-    lines = lines.select("doc_id", "site", "size", line_hash(F.col("line")).alias("h"))
-    spread = lines.groupBy("h").agg(F.hll_sketch_agg("site", lg_k).alias("sketch"), F.count("site").alias("n"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "size"))).alias("first")).where(F.col("n") >= sites)
-    spread = spread.select("h", F.col("first.doc_id").alias("first_doc"), F.col("first.size").alias("first_size"), F.hll_sketch_estimate("sketch").alias("estimate")).where(F.col("estimate") >= sites * (1 - margin))
+    lines = docs.select("doc_id", F.col(site).alias("site"), "text", F.explode(F.split("text", "\n")).alias("line")).where(F.trim("line") != "")
+    first = [F.col("doc_id")]
+    if sizes:
+        own = docs.select("doc_id", F.col(site).alias("site"), own_lines(F.col("text")).alias("own"))
+        own = own.select("doc_id", "site", F.aggregate("own", F.lit(0), lambda n, x: n + line_words(x)).alias("words"), F.size("own").alias("lines"), "own")
+        lines = own.select("doc_id", "site", "words", "lines", F.explode("own").alias("line"))
+        first += [F.col("words"), F.col("lines")]
+    lines = lines.select("site", F.struct(*first).alias("doc"), line_hash(F.col("line")).alias("h"))
+    known = F.when(F.col("doc.doc_id").isNotNull(), F.col("doc"))
+    spread = lines.groupBy("h").agg(F.hll_sketch_agg("site", lg_k).alias("sketch"), F.count("site").alias("n"), F.min(known).alias("first")).where(F.col("n") >= sites)
+    spread = spread.select("h", "first", F.hll_sketch_estimate("sketch").alias("estimate")).where(F.col("estimate") >= sites * (1 - margin))
     spread = stored(spread, "spread")
-    near = spread.where(F.col("estimate") <= sites * (1 + margin)).select("h", "first_doc", "first_size")
+    near = spread.where(F.col("estimate") <= sites * (1 + margin)).select("h", "first")
     exact = lines.join(near.select("h"), "h", "left_semi").where("site is not null").select("h", "site").distinct().groupBy("h").count().where(F.col("count") >= sites).select("h")
-    return spread.where(F.col("estimate") > sites * (1 + margin)).select("h", "first_doc", "first_size").union(near.join(exact, "h").select("h", "first_doc", "first_size"))
+    return spread.where(F.col("estimate") > sites * (1 + margin)).select("h", "first").union(near.join(exact, "h").select("h", "first"))
 
 
-def drop_spread_lines(docs: DataFrame, sites: int = 5, site: str = "source", most: float = 1.0) -> DataFrame:
-    """``docs`` with spread lines cut from the text, and n_lines and n_removed (bigint).
+def drop_spread_lines(docs: DataFrame, sites: int = 5, site: str = "source", spare_copies: bool = False, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` without the lines found on ``sites`` sites or more; n_lines and n_removed are added.
 
     A line counts trimmed of spaces; blank lines stay. The first document with a line (the smallest doc_id) keeps it,
-    so no line is lost from the corpus. A document that would lose more than the share ``most`` of its characters stays
-    whole if it is a copy of one other document: of the characters of both, lines they share have the part COPY or more.
-    Near-duplicate search needs such copies whole; all others are cut, however much they lose. Null text stays null with no lines. Rows that repeat a doc_id are treated
+    so no line is lost from the corpus. Null text stays null with no lines. Rows that repeat a doc_id are treated
     alike; rows without doc_id lose spread lines unless no row with doc_id has them. An empty table gives an empty
-    table. Columns named n_lines or n_removed are replaced; other columns pass through.
+    table. Columns named n_lines or n_removed are replaced; other columns, of any name, pass through.
+
+    spare_copies: a document stays whole if the spread lines it shares with one earlier document prove, in the same
+    order, that both have ``percent`` of their runs of ``shingle`` words in common: it is a copy, which
+    near-duplicate search is to find. Each line that only one of them has costs at most ``shingle`` - 1 runs on top
+    of its own words.
     """
     docs = docs.drop("n_lines", "n_removed")
-    spread = stored(spread_lines(docs, sites, site), "boilerplate")
-    lines = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).where(F.trim("line") != "").select("doc_id", line_hash(F.col("line")).alias("h"), F.length(F.trim("line")).alias("chars"))
-    hits = lines.join(spread, "h").where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
-    if most < 1:  # the lines by the document that has them first: the one with most of them may be what this is a copy of
-        by_first = hits.groupBy(F.col("doc_id").alias("_hit_doc"), "first_doc", "first_size").agg(F.collect_set(F.struct("h", "chars")).alias("own"))
-        common = F.aggregate("own", F.lit(0).cast("bigint"), lambda n, x: n + x["chars"] + 1)
-        by_first = by_first.select("_hit_doc", F.col("own.h").alias("h"), F.struct(common.alias("chars"), F.col("first_size").alias("size")).alias("common"))
-        hits = by_first.groupBy("_hit_doc").agg(F.flatten(F.collect_list("h")).alias("_cut_hashes"), F.max("common").alias("_common"))
+    doc, cut_hashes, common, text_left, lines_left = fresh(docs.columns, "hit_doc", "cut_hashes", "common", "text_left", "lines_left")
+    spread = stored(spread_lines(docs, sites, site, sizes=spare_copies), "boilerplate")
+    lines = docs.select(F.col("doc_id").alias(doc), F.explode(own_lines(F.col("text"))).alias("line"))
+    lines = lines.select(doc, line_hash(F.col("line")).alias("h"), *([line_words(F.col("line")).alias("words")] if spare_copies else []))
+    hits = lines.join(spread, "h").where(~F.col(doc).eqNullSafe(F.col("first.doc_id")))
+    if spare_copies:
+        by_first = hits.groupBy(doc, "first").agg(F.collect_set(F.struct("h", "words")).alias("own"))
+        shared = F.struct(F.aggregate("own", F.lit(0), lambda n, x: n + x["words"]).alias("words"), F.size("own").alias("lines"), F.col("first.words").alias("first_words"), F.col("first.lines").alias("first_lines"))
+        by_first = by_first.select(doc, F.col("own.h").alias("h"), shared.alias("shared"))
+        hits = by_first.groupBy(doc).agg(F.flatten(F.collect_list("h")).alias(cut_hashes), F.max("shared").alias(common))
     else:
-        hits = hits.groupBy(F.col("doc_id").alias("_hit_doc")).agg(F.collect_set("h").alias("_cut_hashes"))
+        hits = hits.groupBy(doc).agg(F.collect_set("h").alias(cut_hashes))
     hits = stored(hits, "hits")
     # As many documents as lines are hit, so this side grows with the input: never a broadcast.
-    joined = docs.join(hits.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_hit_doc")), "left")
+    joined = docs.join(hits.hint("merge"), F.col("doc_id").eqNullSafe(F.col(doc)), "left")
     split = F.split("text", "\n")
-    left = F.filter(split, lambda x: (F.trim(x) == "") | ~F.array_contains("_cut_hashes", line_hash(x)))
-    out = joined.withColumn("_text_left", F.array_join(left, "\n")).withColumn("_lines_left", F.size(left))
-    cut = F.col("_cut_hashes").isNotNull()
-    if most < 1:
-        common = F.col("_common.chars")
-        copy = F.coalesce(common >= COPY * (F.length("text") + F.col("_common.size") - common), F.lit(False))
-        cut &= (F.length("_text_left") >= (1 - most) * F.length("text")) | ~copy
+    left = F.filter(split, lambda x: (F.trim(x) == "") | ~F.array_contains(cut_hashes, line_hash(x)))
+    out = joined.withColumn(text_left, F.array_join(left, "\n")).withColumn(lines_left, F.size(left))
+    cut = F.col(cut_hashes).isNotNull()
+    if spare_copies:
+        c = lambda k: F.col(f"{common}.{k}")
+        own = own_lines(F.col("text"))
+        words, gap = F.aggregate(own, F.lit(0), lambda n, x: n + line_words(x)), shingle - 1
+        runs = c("words") - gap * (F.size(own) + c("first_lines") - 2 * c("lines") + 1)
+        cut &= ~F.coalesce((100 + percent) * runs >= percent * (words + c("first_words") - 2 * gap), F.lit(False))
     count = lambda c: F.when(F.col("text").isNull(), 0).otherwise(c).cast("bigint")
     return out.select(
-        *(F.when(cut, F.col("_text_left")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns),
+        *(F.when(cut, F.col(text_left)).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns),
         count(F.size(split)).alias("n_lines"),
-        count(F.when(cut, F.size(split) - F.col("_lines_left")).otherwise(0)).alias("n_removed"),
+        count(F.when(cut, F.size(split) - F.col(lines_left)).otherwise(0)).alias("n_removed"),
     )
 
 
