@@ -44,11 +44,12 @@ def test_codec_equals_the_library(tokenizer):
         assert c.decode(ids) == tokenizer.decode(ids, skip_special_tokens=False)
 
 
-def test_every_token_encodes_to_itself():
-    c = bpe.Codec(PATH)
-    for piece, age in c.age.items():
-        c2 = c.piece(piece)
-        assert c2 == [c.ids[age]]
+def test_tokens_and_pairs_equal_the_library(tokenizer):
+    """The text of each token, and of tokens side by side, is coded as the library does."""
+    c, r = bpe.Codec(PATH), random.Random(17)
+    pieces = [p.decode() for p in c.age if p.isascii()]
+    for x in r.sample(pieces, 3000) + [a + b for a, b in zip(r.sample(pieces, 3000), r.sample(pieces, 3000))]:
+        assert c.encode(x) == tokenizer.encode(x, add_special_tokens=False).ids
 
 
 def test_codec_frames(spark, tokenizer):
@@ -99,6 +100,33 @@ def test_packing(spark, tokenizer):
     assert packing.pack(docs(spark, []), PATH).count() == 0
 
 
+def test_best_fit_against_naive_search():
+    """Windows, offsets and their number equal those of a plain best-fit decreasing that looks at every open window."""
+    r = random.Random(21)
+    for _ in range(30):
+        lengths = [r.randrange(1, 65) for _ in range(r.randrange(1, 200))]
+        room, at = [], {}
+        for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+            fits = [w for w, x in enumerate(room) if x >= lengths[i]]
+            least = min((room[w] for w in fits), default=None)
+            if least is None:
+                room.append(64)
+                least = 64
+            at[i] = least
+            w = max((w for w, x in enumerate(room) if x == least))
+            room[w] -= lengths[i]
+        got, offset, n = packing.best_fit(lengths, 64)
+        assert n == len(room) and [64 - o for o in offset] == [at[i] for i in range(len(lengths))]
+        assert sorted(64 - sum(x for x, w in zip(lengths, got) if w == k) for k in range(n)) == sorted(room)
+
+
+def test_packing_deals_repeated_rows(spark):
+    """Equal rows without doc_id do not meet in one block."""
+    out = packing.pack(docs(spark, [(None, "same text")] * 3000), PATH, block=100)
+    sizes = [x["count"] for x in out.groupBy(F.shiftright("sequence_id", 40).alias("block")).count().collect()]
+    assert sum(sizes) == 3000 and max(sizes) < 200
+
+
 # 5: near duplicates
 
 
@@ -139,6 +167,27 @@ def test_near_duplicates_against_brute_force(spark):
         assert all(x["n_shingles"] == size[x["doc_id"]] and x["kept"] == (label[x["doc_id"]] == x["doc_id"]) for x in got)
 
 
+def test_near_duplicates_centre_is_an_outsider(spark, monkeypatch):
+    """A crowd that is alike among itself but not like its table's centre gets its own centre: no pairs within it are formed."""
+    r = random.Random(5)
+    base = ["w%d" % k for k in range(100)]
+    crowd = [base[:k] + ["e%d" % k] + base[k + 1 :] for k in range(40)]  # each one word off
+    far = [base[:60] + ["o%d" % r.randrange(10**6) for _ in range(40)] for _ in range(5)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(far + crowd)]
+    tables = spark.createDataFrame([(1, i) for i in range(45)] + [(2, i) for i in range(5)], "key bigint, rep bigint")  # one is centre of all
+    seen = []
+    real = neardup.compared
+    monkeypatch.setattr(neardup, "compared", lambda pairs, *a, **b: seen.append(pairs.count()) or real(pairs, *a, **b))
+    links, labels = neardup.star_links(tables, tables.selectExpr("rep as node").distinct(), docs(spark, rows), 5, 80)
+    assert seen[0] == 44 and sum(seen) < 3 * 45
+    first = {x["node"]: x["label"] for x in labels.collect()}
+    assert all(first[i] == i for i in range(5))
+    monkeypatch.setattr(neardup, "CROWD", 2)
+    label, _ = brute_components(rows, 5, 80)
+    got = neardup.near_duplicates(docs(spark, rows), words=5, percent=80).collect()
+    assert {x["doc_id"]: x["component_id"] for x in got} == label
+
+
 def test_near_duplicates_odd_rows(spark):
     got = neardup.near_duplicates(docs(spark, ODD)).collect()
     assert len(got) == len(ODD)
@@ -166,9 +215,26 @@ def test_spread_lines_against_sql(spark):
     key = lambda x: repr((x[0], x[1]))
     assert sorted([(x["doc_id"], x["text"], x["n_lines"], x["n_removed"]) for x in got], key=key) == sorted([(x[0], x[1], x[5], x[6]) for x in want], key=key)
     assert linededup.drop_spread_lines(docs(spark, [])).count() == 0
-    same = "\n".join(lines[:4])
-    copies = spark.createDataFrame([(k, same, "en", f"s{k}", 1) for k in range(8)], DOCS)
-    assert {x["n_removed"] for x in linededup.drop_spread_lines(copies, most=0.3).collect()} == {0}
+    same = "\n".join("five words are in line %d" % k for k in range(30))
+    rows = [(k, same + "\nedited in copy %d" % k, "en", f"s{k}", 1) for k in range(8)] + [(20 + k, "\n".join(same.split("\n")[:15] + ["own %d words of %d" % (k, j) for j in range(15)]), "en", f"s{k}", 1) for k in range(5)]
+    copies = spark.createDataFrame(rows, DOCS)
+    removed = {x["doc_id"]: x["n_removed"] for x in linededup.drop_spread_lines(copies, spare_copies=True).collect()}
+    assert removed == {k: 0 for k in range(8)} | {20 + k: 15 for k in range(5)}
+    assert {x["n_removed"] for x in linededup.drop_spread_lines(copies).where("doc_id between 1 and 7").collect()} == {30}
+
+
+def test_spared_copies_are_near_duplicates(spark):
+    """Every document that is spared reaches the similarity of the next stage with an earlier one."""
+    r = random.Random(61)
+    rows = []
+    for g in range(12):
+        base = [" ".join(r.choices("alpha beta gamma delta eps zeta".split(), k=r.randrange(1, 14))) + f" g{g} l{k}" for k in range(r.randrange(8, 40))]
+        for k in range(6):
+            text = [x if r.random() > 0.02 * (g % 6) else x + " edit%d" % r.randrange(999) for x in base]
+            rows.append((100 * g + k, "\n".join(text), "en", f"s{k}", 1))
+    spared = {x["doc_id"] for x in linededup.drop_spread_lines(spark.createDataFrame(rows, DOCS), spare_copies=True).where("n_removed = 0").collect()}
+    label, _ = brute_components([(i, t) for i, t, *_ in rows], 5, 80)
+    assert all(label[i] < i for i in spared if i % 100) and len(spared) > 20
 
 
 # 2: quality
@@ -192,6 +258,49 @@ def test_quality_posteriors(spark):
     assert kept.columns == df.columns and kept.count() == 240
 
 
+def test_quality_by_brute_force(spark):
+    """Posteriors and scores of a small table equal loops over the documents' own probabilities."""
+    r = random.Random(31)
+    rows = [(i, r.choice(["Calm words here, all fine.", "BUY!! NOW!! | x |"]) + " t%d" % r.randrange(50), r.choice(["en", "de"]), "h%d" % min(r.randrange(12), 7), 1) for i in range(200)]
+    labels = spark.createDataFrame([(i, int("BUY" not in rows[i][1]), 0) for i in range(0, 200, 3)], "doc_id bigint, quality int, toxic int")
+    got = {x["doc_id"]: x for x in quality.assess(spark.createDataFrame(rows, DOCS), labels).collect()}
+    p = {i: got[i]["doc_score"] / quality.UNIT for i in got}
+    mean = sum(p.values()) / len(p)
+
+    def weight(groups, prior):
+        n, squares = sum(len(g) for g in groups.values()), sum(len(g) ** 2 for g in groups.values())
+        spread = sum(len(g) * (sum(g) / len(g) - prior[k]) ** 2 for k, g in groups.items())
+        within = max(mean * (1 - mean), 1e-6)
+        between = (spread - (len(groups) - 1) * within) / (n - squares / n)
+        return round(min(max(within / max(between, 1e-9) - 1, 1.0), 10_000.0), 3)
+
+    hosts, paths = defaultdict(list), defaultdict(list)
+    for i, _, lang, source, _ in rows:
+        hosts[source].append(p[i])
+        paths[source, lang].append(p[i])
+    k = weight(hosts, {h: mean for h in hosts})
+    host = {h: (sum(g) + k * mean) / (len(g) + k) for h, g in hosts.items()}
+    k = weight(paths, {x: host[x[0]] for x in paths})
+    path = {x: (sum(g) + k * host[x[0]]) / (len(g) + k) for x, g in paths.items()}
+    odds = lambda x: math.log(min(max(x, 1e-6), 1 - 1e-6) / (1 - min(max(x, 1e-6), 1 - 1e-6)))
+    for i, _, lang, source, _ in rows:
+        z = odds(p[i]) + odds(path[source, lang]) - odds(mean)
+        assert got[i]["host_posterior"] == pytest.approx(host[source], abs=2e-6) and got[i]["path_posterior"] == pytest.approx(path[source, lang], abs=2e-6)
+        assert got[i]["quality_score"] == pytest.approx(1 / (1 + math.exp(-z)), abs=2e-6) and got[i]["keep"] == (got[i]["quality_score"] >= 0.5)
+
+
+def test_quality_fit_is_bounded(spark):
+    """Rows that repeat a labelled doc_id come to the driver once."""
+    many = docs(spark, [(1, "text %d" % i) for i in range(300)] + [(2, "BUY!!")])
+    model = quality.fit(many, spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id bigint, quality int, toxic int"), most=10)
+    assert model.prior == 0.5
+
+
+def test_site_parts(spark):
+    df = spark.createDataFrame([("https://A.org/x/y",), ("http://b.net",), (None,), ("no address",)], "url string")
+    assert [tuple(x) for x in df.select(*quality.site_parts(F.col("url"))).collect()] == [("a.org", "/x"), ("b.net", ""), ("", ""), ("", "")]
+
+
 def test_quality_odd_rows(spark):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     got = quality.assess(docs(spark, ODD, extra=True), none).collect()
@@ -222,6 +331,10 @@ def test_trie_counts_against_brute_force(spark):
     small = tries.Trie(score, most=50)
     assert [small.tokens(w) for w in ("therefore", " banana", "漢字", "therefore")] == [brute(w) for w in ("therefore", " banana", "漢字", "therefore")]
     assert tries.count_tokens(docs(spark, ODD), PATH).count() == len(ODD)
+    r = random.Random(13)
+    word = "".join(r.choices("abcdetion", k=6000))
+    big = tries.Trie(score)
+    assert big.tokens(word) == brute(word) and len(big.best) == 1  # long runs put nothing in the trie
 
 
 # 6: media
@@ -249,9 +362,52 @@ def test_clips(spark):
     dark, light = bytes([10]) * 576, bytes([240]) * 576
     media = avi.write(dark * 5 + light * 7)
     files = spark.createDataFrame([(1, media), (2, None)], "doc_id bigint, media binary")
-    assert [tuple(x) for x in avi.clips(files).orderBy("clip").collect()] == [(1, 0, 0, 200, 0, 5), (1, 1, 200, 480, 5, 7)]
+    assert [tuple(x) for x in avi.clips(files).orderBy("clip").collect()] == [(1, 0, 0, 200, 0, 5, None), (1, 1, 200, 480, 5, 7, None)]
     made = avi.media(docs(spark, ODD))
-    assert made.count() == len(ODD) and avi.clips(made.select("doc_id", "media")).count() >= len(ODD)
+    assert made.count() == len(ODD) and avi.clips(made.select("doc_id", "media")).where("error is null").count() >= len(ODD)
+    bad = spark.createDataFrame([(1, b"no media"), (2, media[:300]), (3, media[:-1000]), (4, b""), (None, media)], "doc_id bigint, media binary")
+    got = avi.clips(bad.withColumns({"clip": F.lit(1), "text": F.lit("x")})).collect()
+    assert sorted(x["doc_id"] for x in got if x["error"]) == [1, 2, 3, 4] and all(x["clip"] is None for x in got if x["error"]) and len(got) == 6
+
+
+def test_shots_against_plain_rule():
+    """Cuts equal those of a loop that keeps every difference within the shot."""
+    r = np.random.default_rng(14)
+    level = np.repeat(r.integers(0, 200, 25), r.integers(1, 9, 25))
+    values = np.clip(level[:, None] + r.integers(0, 40, (len(level), 576)), 0, 255).astype(np.uint8)
+    hist = [[int((row >> 4 == b).sum()) for b in range(16)] for row in values]
+    cuts, within = [0], []
+    for k in range(1, len(hist)):
+        j = sum(abs(a - b) for a, b in zip(hist[k], hist[k - 1]))
+        near = within[-8:]
+        m = sum(near) / len(near) if near else 0
+        s = math.sqrt(sum((x - m) ** 2 for x in near) / len(near)) if near else 0
+        if j > 200 and j > m + 3 * s:
+            cuts.append(k)
+            within = []
+        else:
+            within.append(j)
+    assert avi.shots(avi.histograms(values)) == cuts and len(cuts) > 10
+
+
+def test_colour_frames():
+    """A colour frame with halved colour planes and a size that is no multiple of its units."""
+    dc, ac = [(1, 0), (2, 4)], [(1, 0)]
+    quant = avi._segment(0xDB, b"\0" + bytes([8] * 64))
+    size = avi._segment(0xC0, bytes([8, 0, 20, 0, 18, 3, 1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0]))
+    head = b"\xff\xd8" + quant + size + avi._segment(0xC4, avi._table(0, dc) + avi._table(0x10, ac)) + avi._segment(0xDA, bytes([3, 1, 0, 2, 0, 3, 0, 0, 63, 0]))
+    unit = "10" + "1010" + "0" + ("0" + "0") * 3  # luma: a difference of 10 once, then none
+    bits = unit + ("0" + "0") + ("10" + "1000" + "0") + (("0" + "0") * 6) * 3  # blue 0, red 8, and three units without change
+    bits += "1" * (-len(bits) % 8)
+    frame = head + int(bits, 2).to_bytes(len(bits) // 8, "big") + b"\xff\xd9"
+    y, cb, cr = avi.planes(frame)
+    assert y.shape == (20, 18) and cb.shape == cr.shape == (10, 9)
+    assert (y == 138).all() and (cb == 128).all() and (cr == 136).all()
+    assert (avi.picture(frame) == np.array([149, 132, 138])).all()
+    assert avi.frame_histograms([memoryview(frame)])[0].tolist() == [0] * 8 + [576] + [0] * 7
+    for cut in (10, len(head), len(frame) - 4):
+        with pytest.raises((ValueError, IndexError, KeyError)):
+            avi.pixels(frame[:cut])
 
 
 def test_general_frames():
@@ -275,7 +431,8 @@ def test_hamming_against_brute_force(spark, dims):
     x = r.normal(size=(400, dims)).astype(np.float32)
     x[100:220] = x[0]
     df = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)] + [(None, x[0].tolist()), (900, None), (901, [])], "vec_id bigint, embedding array<float>")
-    got = hamming.nearest(df, df.where("vec_id % 20 = 0"), k=10, row_block=150, query_block=9).collect()
+    twice = df.where("vec_id % 20 = 0").withColumns({"code": F.lit("x"), "block": F.lit(1)})
+    got = hamming.nearest(df.withColumns({"code": F.lit("x"), "block": F.lit(1)}), twice.union(twice), k=10, row_block=150).collect()
     b = x > 0
     want = []
     for q in range(0, 400, 20):
@@ -283,6 +440,29 @@ def test_hamming_against_brute_force(spark, dims):
         want += [(q, k + 1, int(i), int(d[i])) for k, i in enumerate(np.lexsort((np.arange(400), d))[:10])]
     assert sorted(map(tuple, got)) == want
     assert hamming.nearest(df.limit(0), df.limit(0)).count() == 0
+    few = df.where("vec_id < 3").union(spark.createDataFrame([(7, [1.0, None]), (8, [1.0, -1.0]), (8, [1.0, -1.0])], "vec_id bigint, embedding array<float>"))
+    small = [tuple(x) for x in hamming.nearest(few, few.where("vec_id >= 2"), k=10).collect()]
+    assert sorted(x[2] for x in small if x[0] == 2) == [0, 1, 2] and sorted(x for x in small if x[0] > 2) == [(8, 1, 8, 0), (8, 2, 8, 0)]
+
+
+def test_hamming_radius_ends_by_its_cover():
+    """The search stops as soon as the k-th distance is covered, far from probing everything, and is exact."""
+    r = np.random.default_rng(12)
+    x = r.normal(size=(4096, 64))
+    x[1:2000:2] = x[:2000:2] + 0.15 * r.normal(size=(1000, 64))  # half have a near neighbour
+    words = hamming.codes(x)
+    distinct = np.unique(words, axis=0)
+    index = hamming.Index(distinct, 64)
+    assert [n for _, n in index.cuts] == [12, 13, 13, 13, 13]
+    asked = words[:128]
+    for k in (1, 2, 10):
+        who, code, far, last = index.search(asked, k, np.ones(len(distinct), np.int64))
+        d = np.bitwise_count(distinct[None] ^ asked[:, None]).sum(axis=2)
+        for q in range(128):
+            kth = np.sort(d[q])[k - 1]
+            assert sorted(far[who == q]) == sorted(d[q][d[q] <= kth])
+            assert last[q] == max(0, -(-(int(kth) + 1) // 5) - 1)  # the first radius that covers the k-th distance
+        assert last.max() < 13
 
 
 # 1: preferences
@@ -415,3 +595,54 @@ def test_words_of_long_texts():
     h, at = lm.words_at(text)
     assert len(h) == len(text.split()) and at.tolist() == [m.start() for m in re.finditer(rb"[^\x20\x09-\x0D]+", text)]
     assert len(np.unique(h)) == 4 and h[-1] == h[-3] and (h[:2] == lm.words_at(b"some WORDS,")[0]).all()
+
+
+# all ten: odd tables
+
+LONG_TEXT = "word line\n" * 250_000 + "x" * 2_500_000
+CLASH = ("block", "id", "h", "cut_hashes", "hit_doc", "text_left", "lines_left", "common", "site_host", "site_path", "host", "path", "sums", "rid", "set_id", "key", "rep", "comp", "label", "node", "size", "word", "kind", "c", "x", "code", "dims", "asked", "_host", "_path", "_hit_doc", "_cut_hashes", "_text_left", "_lines_left", "bucket", "opening", "said")
+NO_LABELS = "doc_id bigint, quality int, toxic int"
+TABLE_OPERATORS = {
+    "quality": lambda d: quality.assess(d, d.sparkSession.createDataFrame([], NO_LABELS)),
+    "keep_good": lambda d: quality.keep_good(d, d.sparkSession.createDataFrame([(1, 1, 0), (6, 0, 0)], NO_LABELS)),
+    "tries": lambda d: tries.count_tokens(d, PATH),
+    "codec": lambda d: bpe.round_trip(d, PATH),
+    "near": neardup.near_duplicates,
+    "media": avi.digests,
+    "lines": linededup.drop_spread_lines,
+    "copies": lambda d: linededup.drop_spread_lines(d, spare_copies=True),
+    "model": lm.score,
+    "packing": lambda d: packing.pack(d, PATH),
+}
+
+
+@pytest.mark.parametrize("name", sorted(TABLE_OPERATORS))
+def test_odd_tables(spark, name):
+    """Nulls, empty and long texts, ties, repeats, int ids, columns with clashing names and an empty table."""
+    f = TABLE_OPERATORS[name]
+    rows = [*ODD, (8, LONG_TEXT), (9, "ab " * 3), (10, "ab " * 3), (None, None)]
+    df = docs(spark, rows).withColumn("doc_id", F.col("doc_id").cast("int")).withColumns({c: F.lit("x") for c in CLASH})
+    got = f(df).collect()
+    ids = [x["doc_id"] for x in got]
+    assert len(set(ids)) >= (1 if name == "keep_good" else len({i for i, _ in rows})) and (name in ("packing", "keep_good") or len(got) == len(rows))
+    assert f(df.limit(0)).count() == 0
+
+
+def test_odd_vectors(spark):
+    vectors = spark.createDataFrame([(1, [1.0, -1.0]), (1, [1.0, -1.0]), (2, [1.0, -1.0]), (3, [1.0]), (None, [1.0]), (4, None)], "vec_id int, embedding array<double>").withColumns({c: F.lit("x") for c in CLASH})
+    got = sorted(tuple(x) for x in hamming.nearest(vectors, vectors, k=2).collect())
+    assert got == [(1, 1, 1, 0), (1, 2, 1, 0), (2, 1, 1, 0), (2, 2, 1, 0), (3, 1, 3, 0)]
+    assert hamming.nearest(vectors.limit(0), vectors).count() == 0
+
+
+def test_odd_conversations(spark):
+    """A long conversation, an opening over all buckets, ties, an end mark in a text, nulls and clashing columns."""
+    turns = [(0, k, "user" if k % 2 == 0 else "assistant", "t%d " % k + "x" * 50) for k in range(3000)] + [(c, k, "user" if k == 0 else "assistant", "same" if k == 0 else "answer <|end|>\n") for c in range(1, 900) for k in range(2)]
+    df = spark.createDataFrame([*turns, (5000, None, None, None), (None, 1, "user", "x")], "conv_id int, turn int, role string, text string").withColumns({c: F.lit("x") for c in CLASH})
+    got = chat.preferences(chat.paired(chat.conversations(df)).withColumns({"prompt": F.lit("x")})).collect()
+    used = [x for r in got for x in {r["chosen_id"], r["rejected_id"]}]
+    assert sorted(used) == [*range(900), 5000]
+    tied = [r for r in got if r["chosen_id"] != r["rejected_id"]]
+    assert len(tied) >= 449 and all(r["prompt_turns"] == 2 and r["chosen_text"] == r["rejected_text"] == "" for r in tied)
+    long = next(r for r in got if r["chosen_id"] == 0)
+    assert long["prompt_turns"] == 2999 and [long["chosen_text"][a:b] for a, b in long["chosen_spans"]] == ["t2999 " + "x" * 50 + "<|end|>"]
