@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexisift.llm.common import stored
@@ -160,19 +160,21 @@ def rare_pairs(met: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
     first = first.withColumn("at", F.col("alone") + F.col("i")).where(F.col("at") <= F.col("size") * (100 - percent) / percent)
     first = stored(first.select("a", "b", "comp", "linked", "size", "d", (F.col("d") - F.col("at")).alias("left"), F.col("x.e").alias("e")), "prefixes")
     y = first.alias("y")
-    # Components meet first, then their members: those of one component that share an element never face each other.
-    kinds = first.select("b", "e", "comp").distinct()
-    mixed = kinds.join(kinds.groupBy("b", "e").agg(F.count("*").alias("n")).where("n > 1"), ["b", "e"]).select("b", "e", "comp")
-    meeting = mixed.alias("k").join(mixed.withColumnRenamed("comp", "other").alias("o"), ["b", "e"]).where("comp < other").select("b", "e", "comp", "other")
-    x = meeting.join(first, ["b", "e", "comp"]).alias("x")
-    near = (
-        (F.col("x.b") == F.col("y.b"))
-        & (F.col("x.e") == F.col("y.e"))
-        & (F.col("x.other") == F.col("y.comp"))
-        & ~(F.col("x.linked") & F.col("y.linked"))
-        & (100 * F.least("x.size", "y.size") >= percent * F.greatest("x.size", "y.size"))
-        & ((100 + percent) * (F.col("x.d") + F.col("y.d")) - (100 - percent) * (F.col("x.size") + F.col("y.size")) <= 2 * (100 + percent) * F.least("x.left", "y.left"))
-    )
+
+    def allowed(x: str, y: str, comp: bool = False) -> Column:
+        """Whether sizes and what is left of the differences allow a link; of a component its most favourable figures."""
+        f = lambda side, name: F.col(f"{side}.{name}")
+        lower, upper = ("low_size", "high_size") if comp else ("size", "size")
+        sizes = (100 * f(x, "size") >= percent * f(y, lower)) & (100 * f(y, upper) >= percent * f(x, "size"))
+        return sizes & ((100 + percent) * (f(x, "d") + f(y, "d")) - (100 - percent) * (f(x, "size") + f(y, upper)) <= 2 * (100 + percent) * F.least(f(x, "left"), f(y, "left")))
+
+    # Members meet other components that share the element before they meet their members: those of one component never face each other.
+    comps = first.groupBy("b", "e", "comp").agg(F.min("d").alias("d"), F.min("size").alias("low_size"), F.max("size").alias("high_size"), F.max("left").alias("left"), F.bool_and("linked").alias("linked"))
+    mixed = comps.join(comps.groupBy("b", "e").agg(F.count("*").alias("n")).where("n > 1"), ["b", "e"]).alias("k")
+    open_ = ~(F.col("x.linked") & F.col("k.linked"))
+    meeting = first.alias("x").join(mixed, (F.col("x.b") == F.col("k.b")) & (F.col("x.e") == F.col("k.e")) & (F.col("x.comp") < F.col("k.comp")) & open_ & allowed("x", "k", comp=True))
+    x = meeting.select("x.*", F.col("k.comp").alias("other")).alias("x")
+    near = (F.col("x.b") == F.col("y.b")) & (F.col("x.e") == F.col("y.e")) & (F.col("x.other") == F.col("y.comp")) & ~(F.col("x.linked") & F.col("y.linked")) & allowed("x", "y")
     return x.join(y, near).select(F.col("x.a").alias("a"), F.col("y.a").alias("b")).distinct()
 
 
