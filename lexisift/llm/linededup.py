@@ -21,6 +21,15 @@ def line_words(line: Column) -> Column:
     return F.size(F.split(F.trim(line), r"[\x20\x09-\x0D]+"))
 
 
+def most_words(text: Column) -> Column:
+    """A bound on the words of a text: the characters between words, and one."""
+    return F.length(text) - F.length(F.translate(text, " \t\n\x0b\f\r", "")) + 1
+
+
+def most_lines(text: Column) -> Column:
+    return F.length(text) - F.length(F.translate(text, "\n", "")) + 1
+
+
 def own_lines(text: Column) -> Column:
     """The distinct lines of a text that are not blank."""
     return F.filter(F.array_distinct(F.split(text, "\n")), lambda x: F.trim(x) != "")
@@ -30,16 +39,12 @@ def spread_lines(docs: DataFrame, sites: int, site: str = "source", lg_k: int =
     """(h, first) for each line hash on at least ``sites`` distinct sites; ``margin`` bounds what counts as near.
 
     Blank lines and null sites do not count. first.doc_id is the smallest doc_id with the line; with ``sizes``,
-    first.words and first.lines are the words and the number of that document's distinct lines.
+    first.words and first.lines are bounds on that document's words and lines.
     """
-    lines = docs.select("doc_id", F.col(site).alias("site"), "text", F.explode(F.split("text", "\n")).alias("line")).where(F.trim("line") != "")
-    first = [F.col("doc_id")]
-    if sizes:
-        own = docs.select("doc_id", F.col(site).alias("site"), own_lines(F.col("text")).alias("own"))
-        own = own.select("doc_id", "site", F.aggregate("own", F.lit(0), lambda n, x: n + line_words(x)).alias("words"), F.size("own").alias("lines"), "own")
-        lines = own.select("doc_id", "site", "words", "lines", F.explode("own").alias("line"))
-        first += [F.col("words"), F.col("lines")]
-    lines = lines.select("site", F.struct(*first).alias("doc"), line_hash(F.col("line")).alias("h"))
+    own = [most_words(F.col("text")).alias("words"), most_lines(F.col("text")).alias("lines")] if sizes else []
+    # What belongs to a document is worked out below the explosion, once, and the text does not go through it.
+    each = docs.select(F.col(site).alias("site"), F.struct("doc_id", *own).alias("doc"), F.split("text", "\n").alias("lines"))
+    lines = each.select("site", "doc", F.explode("lines").alias("line")).where(F.trim("line") != "").select("site", "doc", line_hash(F.col("line")).alias("h"))
     known = F.when(F.col("doc.doc_id").isNotNull(), F.col("doc"))
     spread = lines.groupBy("h").agg(F.hll_sketch_agg("site", lg_k).alias("sketch"), F.count("site").alias("n"), F.min(known).alias("first")).where(F.col("n") >= sites)
     spread = spread.select("h", "first", F.hll_sketch_estimate("sketch").alias("estimate")).where(F.col("estimate") >= sites * (1 - margin))
@@ -84,10 +89,9 @@ def drop_spread_lines(docs: DataFrame, sites: int = 5, site: str = "source", spa
     cut = F.col(cut_hashes).isNotNull()
     if spare_copies:
         c = lambda k: F.col(f"{common}.{k}")
-        own = own_lines(F.col("text"))
-        words, gap = F.aggregate(own, F.lit(0), lambda n, x: n + line_words(x)), shingle - 1
-        runs = c("words") - gap * (F.size(own) + c("first_lines") - 2 * c("lines") + 1)
-        cut &= ~F.coalesce((100 + percent) * runs >= percent * (words + c("first_words") - 2 * gap), F.lit(False))
+        gap = shingle - 1
+        runs = c("words") - gap * (most_lines(F.col("text")) + c("first_lines") - 2 * c("lines") + 1)
+        cut &= ~F.coalesce((100 + percent) * runs >= percent * (most_words(F.col("text")) + c("first_words") - 2 * gap), F.lit(False))
     count = lambda c: F.when(F.col("text").isNull(), 0).otherwise(c).cast("bigint")
     return out.select(
         *(F.when(cut, F.col(text_left)).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns),
