@@ -53,3 +53,8 @@ def method_groups(df: DataFrame, key: str, text: str, methods: tuple[str, ...] =
     """(key, digest, methods): the methods of each text grouped by what they give."""
     each = df.select(key, F.explode(F.array(*(F.struct(F.lit(m).alias("method"), F.md5(joined(text, m)).alias("digest")) for m in methods))).alias("x"))
     return each.groupBy(key, F.col("x.digest").alias("digest")).agg(F.array_sort(F.collect_list("x.method")).alias("methods"))
+
+
+def usage(segmented: DataFrame) -> DataFrame:
+    """One row over segmented texts: how many there are, how many succeeded, the share and their syllables."""
+    return segmented.agg(F.count("*").alias("texts"), F.count_if("success").alias("successes"), (F.count_if("success") / F.count("*")).alias("success_rate"), F.sum("syllable_count").alias("syllables"))

@@ -23,9 +23,33 @@ def sub(c: Column, pattern: str, to: str = "") -> Column:
     return F.regexp_replace(c, F.lit(pattern), F.lit(to))
 
 
+#: Python's white space, the characters of ``SPACE``.
+BLANKS = "\t\n\x0b\f\r \x1c\x1d\x1e\x1f\x85\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column | str) -> Column:
     """Without white space at both ends, as Python's strip."""
-    return sub(col(c), rf"^[{_S}]++|[{_S}]+\z")
+    return F.btrim(col(c), F.lit(BLANKS))
+
+
+def steps(c: Column, *each: tuple[str, str, str]) -> Column:
+    """``c`` through steps (mark, pattern, replacement) in turn; a text without the mark is left as it is.
+
+    A column that a step names twice is bound by a lambda, so it is computed once.
+    """
+
+    def one(mark: str, pattern: str, to: str):
+        return lambda x: F.when(F.contains(x, F.lit(mark)), sub(x, pattern, to)).otherwise(x) if mark else sub(x, pattern, to)
+
+    out = F.array(c)
+    for step in each:
+        out = F.transform(out, one(*step))
+    return F.get(out, F.lit(0))
+
+
+# Patterns below never look twice at a run that has no end: what follows an opening sign up to where its end would have
+# to be is taken as a whole, and put back by the group of the second branch.
+_BRACKETS = (("[", r"\[[^\n\]]*+\]|(\[[^\n\]]*+)", "$1"), ("(", r"\([^\n)]*+\)|(\([^\n)]*+)", "$1"))
 
 
 def count(c: Column, pattern: str) -> Column:
@@ -34,10 +58,16 @@ def count(c: Column, pattern: str) -> Column:
 
 def clean_markup(c: Column | str) -> Column:
     """Without tags, named and decimal entities, and javascript: and mailto: remains."""
-    c = F.coalesce(col(c), F.lit(""))
-    for p in (r"<[^>]+>", r"&[a-zA-Z]+;", r"&#\p{Nd}+;", r"javascript:[^\n]*?;", rf"mailto:[^\n]*?[{_S}>]"):
-        c = sub(c, p)
-    return strip(c)
+    return strip(
+        steps(
+            F.coalesce(col(c), F.lit("")),
+            ("<", r"<[^>]++>|(<[^>]*+\z)", "$1"),
+            ("&", r"&[a-zA-Z]++;", ""),
+            ("&#", r"&#\p{Nd}++;", ""),
+            ("javascript:", r"javascript:[^\n;]*+;|(javascript:[^\n;]*+)", "$1"),
+            ("mailto:", rf"mailto:[^{_S}>]*+[{_S}>]|(mailto:[^{_S}>]*+\z)", "$1"),
+        )
+    )
 
 
 def clean_unicode(c: Column | str, nfc: bool = True) -> Column:
@@ -52,12 +82,19 @@ def clean_unicode(c: Column | str, nfc: bool = True) -> Column:
 
 def clean_unwanted(c: Column | str, brackets: bool = True) -> Column:
     """Without bracketed parts, addresses and phone-like runs; long runs of marks shortened."""
-    c = col(c)
-    steps = [(r"\[[^\n]*?\]", ""), (r"\([^\n]*?\)", "")] if brackets else []
-    steps += [(r"https?://[!$-_a-z]+", ""), (rf"[^{_S}]+@[^{_S}]+\.[^{_S}]+", ""), (rf"\+?[\p{{Nd}}{_S}\-()]{{10,}}+", ""), (r"[.]{3,}", "..."), (r"!{2,}", "!"), (r"\?{2,}", "?")]
-    for p, to in steps:
-        c = sub(c, p, to)
-    return strip(c)
+    return strip(
+        steps(
+            col(c),
+            *(_BRACKETS if brackets else ()),
+            ("://", r"https?://[!$-_a-z]++", ""),
+            # A run without white space goes as a whole if an @ and a later dot have something before, between and after them.
+            ("@", rf"[^{_S}][^{_S}@]*+@[^{_S}][^{_S}.]*+\.[^{_S}]++|([^{_S}]++)", "$1"),
+            ("", rf"\+?[\p{{Nd}}{_S}\-()]{{10,}}+", ""),
+            ("...", r"[.]{3,}+", "..."),
+            ("!!", r"!{2,}+", "!"),
+            ("??", r"\?{2,}+", "?"),
+        )
+    )
 
 
 def clean_space(c: Column | str) -> Column:
@@ -72,7 +109,7 @@ def clean_text(c: Column | str, nfc: bool = True) -> Column:
 def clean_scraped(c: Column | str) -> Column:
     """Cleaning of scraped pages: white space first, so gaps left by brackets stay."""
     c = sub(F.coalesce(col(c), F.lit("")), rf"[{_S}]++", " ")
-    return strip(sub(sub(c, r"\[[^\n]*?\]"), r"\([^\n]*?\)"))
+    return strip(steps(c, *_BRACKETS))
 
 
 def normal_form(c: Column | str) -> Column:
@@ -157,6 +194,30 @@ def reject_reason(least_ratio: float = 0.6, least_length: int = 50, most_latin:
     )
 
 
+def high_quality(score: Column, least: float = 0.7) -> Column:
+    """Whether a quality score is high."""
+    return score >= least
+
+
+def mostly_script(c: Column | str, least: float = 0.5) -> Column:
+    """Whether at least half of all characters, white space counted, are of the script; not for empty texts."""
+    return (F.length(col(c)) > 0) & (char_ratio(c) >= least)
+
+
+def complexity(c: Column | str) -> Column:
+    """The mean of a text's length, to a hundred characters at most, and the share of its characters that are distinct; 0 for empty texts."""
+    c = F.coalesce(col(c), F.lit(""))
+    n = F.length(c)
+    distinct = F.size(F.array_distinct(F.regexp_extract_all(c, F.lit(r"(?s)."), 0)))
+    return F.when(n == 0, 0.0).otherwise((F.least(n / 100, F.lit(1.0)) + distinct / n) / 2)
+
+
+def restored(c: Column | str) -> Column:
+    """A text whose tokens are parted by single spaces put together again; double spaces stay."""
+    mark = F.lit("<<<DOUBLE_SPACE>>>")
+    return F.replace(F.replace(F.replace(col(c), F.lit("  "), mark), F.lit(" "), F.lit("")), mark, F.lit("  "))
+
+
 def number_type(c: Column | str) -> Column:
     c = strip(c)
     return (

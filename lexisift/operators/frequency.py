@@ -33,6 +33,30 @@ def contexts(lists: DataFrame, doc: str, tokens: str) -> DataFrame:
     return each.groupBy(F.col("x.syllable").alias("syllable"), F.col("x.prev").alias("prev")).agg(F.count("*").alias("cnt"))
 
 
+def runs(lists: DataFrame, tokens: str, n: int) -> DataFrame:
+    """(s1, ..., sn, cnt): the runs of n syllables of lists, each syllable a column of its own."""
+    lists = T.held(lists, tokens, F.col(tokens))
+    names = [f"s{k}" for k in range(1, n + 1)]
+    each = F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(1))), lambda i: F.struct(*(F.try_element_at(tokens, i + k).alias(name) for k, name in enumerate(names))))
+    return lists.select(F.explode(F.when(F.size(tokens) >= n, each)).alias("x")).groupBy(*(F.col(f"x.{k}").alias(k) for k in names)).agg(F.count("*").alias("cnt"))
+
+
+def summary(counts: DataFrame, texts: int) -> DataFrame:
+    """One row over (syllable, cnt): totals, the mean of a text and the entropy in bits."""
+    n = F.sum("cnt")
+    h = F.log2(n.cast("double")) - F.sum(F.col("cnt") * F.log2(F.col("cnt").cast("double"))) / n
+    return counts.agg(n.alias("total_syllables"), F.count("*").alias("unique_syllables"), F.lit(texts).cast("bigint").alias("texts"), (n / F.lit(max(texts, 1))).alias("mean_of_text"), h.alias("entropy"))
+
+
+def extremes(counts: DataFrame, k: int = 50, rare: int = 10) -> DataFrame:
+    """(kind, rank, syllable, cnt): the k most common syllables and the first k of those that occur ``rare`` times or less."""
+    w = Window.orderBy(F.desc("cnt"), "syllable")
+    top = counts.orderBy(F.desc("cnt"), "syllable").limit(k).withColumn("rank", F.row_number().over(w)).select(F.lit("common").alias("kind"), "rank", "syllable", "cnt")
+    w = Window.orderBy("cnt", "syllable")
+    low = counts.where(F.col("cnt") <= rare).orderBy("cnt", "syllable").limit(k).withColumn("rank", F.row_number().over(w)).select(F.lit("rare").alias("kind"), "rank", "syllable", "cnt")
+    return top.union(low)
+
+
 def confidence(counts: DataFrame, context: DataFrame) -> DataFrame:
     """counts with confidence_score: seven tenths by frequency, three by how often it has a context."""
     most = counts.agg(F.max("cnt").alias("most"))
@@ -44,15 +68,25 @@ def confidence(counts: DataFrame, context: DataFrame) -> DataFrame:
 def suggestions(unknown: DataFrame, known: DataFrame, k: int = 5, least: float = 0.5) -> DataFrame:
     """(syllable, rank, suggestion, similarity): known syllables that agree with an unknown one in over half of its places.
 
-    The share of equal places to the longer length can only pass one half if some place is equal, so candidates come
-    from an equi-join on (place, character) and are counted by grouping; no pair without an equal place is formed.
+    ``least`` is one half or more. If over half of the places to the longer length are equal, two of them are next to
+    each other or have one between them; so candidates come from an equi-join on a place and two of its characters,
+    and no pair without such a place is formed.
     """
-    places = lambda d, name, other: d.select(F.col("syllable").alias(name), F.length("syllable").alias(other), F.posexplode(F.split("syllable", "")).alias("place", "char"))
-    a, b = places(unknown, "syllable", "n"), places(known, "suggestion", "m")
-    close = (F.least("n", "m") > least * F.greatest("n", "m")) & (F.col("syllable") != F.col("suggestion"))
-    met = a.join(b, ["place", "char"]).where(close).groupBy("syllable", "suggestion").agg((F.count("*") / F.greatest(F.first("n"), F.first("m"))).alias("similarity")).where(F.col("similarity") > least)
+
+    def places(d: DataFrame, name: str) -> DataFrame:
+        chars = d.select(F.col("syllable").alias(name), F.split("syllable", "").alias("a"))
+        pair = lambda gap: F.transform(F.sequence(F.lit(1), F.size("a") - gap), lambda i: F.struct(i.alias("place"), F.element_at("a", i).alias("x"), F.element_at("a", i + gap).alias("y"), F.lit(gap).alias("gap")))
+        none = F.array().cast("array<struct<place:int,x:string,y:string,gap:int>>")
+        both = F.concat(*(F.when(F.size("a") > gap, pair(gap)).otherwise(none) for gap in (1, 2)))
+        return chars.select(name, F.explode(both).alias("at")).select(name, "at.*")
+
+    met = places(unknown, "syllable").join(places(known, "suggestion"), ["place", "x", "y", "gap"])
+    n, m = F.length("syllable"), F.length("suggestion")
+    pairs = met.where((F.least(n, m) > least * F.greatest(n, m)) & (F.col("syllable") != F.col("suggestion"))).select("syllable", "suggestion").distinct()
+    equal = F.size(F.filter(F.zip_with(F.split("syllable", ""), F.split("suggestion", ""), lambda x, y: x == y), lambda x: x))
+    close = pairs.withColumn("similarity", equal / F.greatest(n, m)).where(F.col("similarity") > least)
     w = Window.partitionBy("syllable").orderBy(F.desc("similarity"), "suggestion")
-    return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("syllable", F.col("rank").cast("bigint").alias("rank"), "suggestion", "similarity")
+    return close.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("syllable", F.col("rank").cast("bigint").alias("rank"), "suggestion", "similarity")
 
 
 def text_validity(each: DataFrame, counts: DataFrame, doc: str = "doc_id") -> DataFrame:

@@ -6,12 +6,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from lexisift.functions.scripts import SPACE
+from lexisift.functions.arrays import starts
+from lexisift.functions.scripts import SCRIPT, SPACE
 from lexisift.functions.segment import syllables, valid_syllables
-from lexisift.functions.text import held, model_text
+from lexisift.functions.text import count, held, model_text
 from lexisift.operators.stats import char_runs, ngrams
+from lexisift.sources.shared import stored
 
 PAD = "<"
 START, END = "<START>", "<END>"
@@ -46,21 +47,30 @@ class Model:
     sizes: DataFrame
 
 
+#: Stands after the last unit of a list while n-grams are counted; no text holds it.
+STOP = "\x00"
+
+
 def train(units: DataFrame, column: str, n: int, separator: str, padding: tuple[str, ...] = ()) -> Model:
-    """A model of lists of units. ``padding`` lists units that are no vocabulary.
+    """A model of lists of units, padded with n - 1 units at both ends. ``padding`` lists units that are no vocabulary.
 
-    Every n-gram begins with its context, so one shuffle of n-grams carries both counts; only each list's last context
-    is no n-gram's beginning.
+    One reading and one shuffle count all: each n-gram begins with its context and ends with a unit, and a stop after
+    the last unit makes the last context the beginning of an n-gram too. The counts are written once; the model's
+    tables are views of them.
     """
-    units = held(units.select(column), column, F.col(column))
-    u = F.col(column)
-    gram = units.select(F.explode(runs(u, n, separator)).alias("ngram")).groupBy("ngram").agg(F.count("*").alias("cnt"))
-    context = units.select(F.explode(runs(u, n - 1, separator)).alias("context")).groupBy("context").agg(F.count("*").alias("cnt"))
-    vocabulary = units.select(F.explode(u if separator else char_runs(u, 1)).alias("unit")).where(~F.col("unit").isin(*padding) if padding else F.lit(True)).agg(F.count_distinct("unit").alias("vocabulary"))
-    cut = F.substring_index("ngram", separator, n - 1) if separator else F.expr("substr(ngram, 1, length(ngram) - 1)")
-    gram = gram.select("ngram", cut.alias("context"), "cnt")
-    sizes = vocabulary.join(gram.agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("total")))
-    return Model(n, separator, gram, context, sizes)
+    u = F.concat(F.col(column), F.array(F.lit(STOP))) if separator else F.when(F.length(column) > 0, F.concat(F.col(column), F.lit(STOP))).otherwise("")
+    grams = held(units.select(column), column, u).select(F.explode(runs(F.col(column), n, separator)).alias("ngram")).groupBy("ngram").agg(F.count("*").alias("cnt"))
+    grams = stored(grams, "ngrams")
+    if separator:
+        context, unit = F.substring_index("ngram", separator, n - 1), F.substring_index("ngram", separator, -1)
+    else:
+        context, unit = F.expr("substr(ngram, 1, length(ngram) - 1)"), F.expr("substr(ngram, length(ngram), 1)")
+    each = grams.select("ngram", context.alias("context"), unit.alias("unit"), "cnt")
+    gram = each.where(F.col("unit") != STOP).select("ngram", "context", "cnt")
+    contexts = each.groupBy("context").agg(F.sum("cnt").alias("cnt"))
+    known = F.when(~F.col("unit").isin(STOP, *padding), F.col("unit"))
+    sizes = each.agg(F.count_distinct(known).alias("vocabulary"), F.coalesce(F.sum(F.when(F.col("unit") != STOP, F.col("cnt"))), F.lit(0)).alias("total"))
+    return Model(n, separator, gram, contexts, sizes)
 
 
 def laplace(cnt: Column, context: Column, vocabulary: Column, total: Column, alpha: float = 1.0) -> Column:
@@ -102,6 +112,20 @@ def statistics(model: Model) -> DataFrame:
     return out.select(F.lit(model.n).alias("n"), "vocabulary", "total", "unique_ngrams", (F.col("unique_ngrams") / F.pow(F.col("vocabulary").cast("double"), F.lit(model.n))).alias("coverage"), "entropy", F.pow(F.lit(2.0), F.col("entropy")).alias("perplexity"))
 
 
+def filter_statistics(texts: DataFrame, text: str, least: float = 0.0) -> DataFrame:
+    """One row: characters, the shares of the script, of what the filter takes out, of white space and of marks, and of texts kept.
+
+    A text is kept if its share of the script among characters that are no white space reaches ``least`` and it has any.
+    """
+    c = F.coalesce(F.col(text), F.lit(""))
+    n = {"n": F.length(c), "s": count(c, f"[{SCRIPT}]"), "w": count(c, f"[{SPACE}]"), "p": count(c, "[។៕៖ៗ]")}
+    each = texts.select(*(v.cast("bigint").alias(k) for k, v in n.items()))
+    total = F.sum("n")
+    share = lambda x, name: F.coalesce(F.sum(x) / F.nullif(total, F.lit(0)), F.lit(0.0)).alias(name)
+    kept = F.count_if((F.col("s") >= least * (F.col("n") - F.col("w"))) & (F.col("n") > F.col("w"))) / F.count("*")
+    return each.agg(total.alias("total_chars"), share(F.col("s"), "khmer_ratio"), share(F.col("n") - F.col("s") - F.col("w"), "filter_ratio"), share(F.col("w"), "space_ratio"), share(F.col("p"), "punct_ratio"), kept.alias("text_retention_ratio"))
+
+
 def smoothing_statistics(model: Model) -> DataFrame:
     """One row for each smoothing method: the probability of an unseen n-gram and the coverage."""
     one = model.ngrams.agg(F.count_if(F.col("cnt") == 1).alias("once")).join(model.sizes)
@@ -114,17 +138,29 @@ def smoothing_statistics(model: Model) -> DataFrame:
     return one.select("vocabulary", "total", F.explode(rows).alias("x")).select("x.method", F.col("vocabulary").alias("vocabulary_size"), F.col("total").alias("total_ngrams"), "x.unseen_probability", "x.coverage")
 
 
-def scored(texts: DataFrame, key: str, units: Column, model: Model) -> DataFrame:
-    """(key, pos, ngram, probability) of every n-gram of every text, by Laplace smoothing.
+def scored(texts: DataFrame, key: str, units: Column, model: Model, method: str = "laplace") -> DataFrame:
+    """(key, pos, ngram, probability) of every n-gram of every text, by a smoothing method.
 
-    Distinct n-grams of the texts are looked up once: the texts' n-grams are joined with counts, both sides by equal
-    keys; the sizes are one row.
+    The texts' n-grams are joined with counts, both sides by equal keys; the sizes are one row. Good-Turing gives an
+    unseen n-gram the adjusted count of none, the share of n-grams seen once, over its context's count; after an
+    unseen context that share itself. Backoff gives both the factor over the vocabulary.
     """
-    each = held(texts.select(key, units.alias("_u")), "_u", F.col("_u")).select(key, F.posexplode(runs(F.col("_u"), model.n, model.separator)).alias("pos", "ngram"))
+    each = held(texts.select(key, units.alias("units")), "units", F.col("units")).select(key, F.posexplode(runs(F.col("units"), model.n, model.separator)).alias("pos", "ngram"))
     cut = F.substring_index("ngram", model.separator, model.n - 1) if model.separator else F.expr("substr(ngram, 1, length(ngram) - 1)")
     each = each.withColumn("context", cut)
     joined = each.join(model.ngrams.select("ngram", "cnt"), "ngram", "left").join(model.contexts.withColumnRenamed("cnt", "context_cnt"), "context", "left").join(F.broadcast(model.sizes))
-    return joined.select(key, "pos", "ngram", laplace(F.col("cnt"), F.col("context_cnt"), F.col("vocabulary"), F.col("total")).alias("probability"))
+    if method == "laplace":
+        p = laplace(F.col("cnt"), F.col("context_cnt"), F.col("vocabulary"), F.col("total"))
+    elif method == "simple_backoff":
+        p = backoff(F.col("cnt"), F.col("context_cnt"), F.col("vocabulary"))
+    elif method == "good_turing":
+        once = model.ngrams.agg(F.count_if(F.col("cnt") == 1).alias("once"))  # one row is broadcast
+        joined = joined.join(good_turing(model.ngrams).select("cnt", "adjusted"), "cnt", "left").crossJoin(F.broadcast(once))
+        none = F.when(F.col("once") > 0, F.col("once") / F.col("total")).otherwise(1.0 / (F.col("total") + F.col("vocabulary")))
+        p = F.when(F.coalesce("context_cnt", F.lit(0)) > 0, F.coalesce("adjusted", none) / F.col("context_cnt")).otherwise(none)
+    else:
+        raise ValueError(f"no smoothing method {method}")
+    return joined.select(key, "pos", "ngram", p.alias("probability"))
 
 
 def text_scores(texts: DataFrame, key: str, each: DataFrame, text: str = "text") -> DataFrame:
@@ -158,12 +194,9 @@ def syllable_errors(texts: DataFrame, key: str, text: str, each: DataFrame, voca
     The blamed syllable is the n-gram's own place plus n - 1, at most the last (padding is not taken off, as in the
     model's source). kind is suspicious for syllables outside ``vocabulary`` (token), else invalid_sequence.
     """
-    kept = texts.select(key, valid_syllables(syllables(text)).alias("s"))
-    places = kept.select(key, F.size("s").alias("size"), F.posexplode("s").alias("at", "syllable"))
-    w = Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    places = places.withColumn("start", F.coalesce(F.sum(F.length("syllable")).over(w), F.lit(0)))
-    bad = each.where(F.col("probability") < threshold).join(kept.select(key, F.size("s").alias("size")), key).withColumn("at", F.least(F.col("pos") + n - 1, F.col("size") - 1))
-    out = bad.drop("size").join(places.drop("size"), [key, "at"])
+    kept = held(texts.select(key, text), "s", valid_syllables(syllables(text))).select(key, "s", starts(F.transform("s", F.length)).alias("starts"))
+    bad = each.where(F.col("probability") < threshold).join(kept, key).withColumn("at", F.least(F.col("pos") + n - 1, F.size("s") - 1))
+    out = bad.withColumns({"syllable": F.get("s", F.col("at")), "start": F.get("starts", F.col("at"))}).drop("s", "starts")
     out = out.join(vocabulary.select(F.col("token").alias("syllable"), F.lit(True).alias("known")), "syllable", "left")
     return out.select(key, "pos", "start", (F.col("start") + F.length("syllable")).alias("end"), "syllable", (1 - F.col("probability") / threshold).alias("confidence"), F.when(F.col("known"), "invalid_sequence").otherwise("suspicious").alias("kind"))
 

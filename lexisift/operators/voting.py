@@ -25,6 +25,61 @@ def hybrid(df: DataFrame, rule: str, char: str, syllable: str, errors: str, shar
     return df.withColumns({"overall_score": overall, "statistical_score": (c + s) / 2, "consensus_score": agreed, "confidence_score": (available / 3 + agreed) / 2, "hybrid_valid": (F.col(errors) == 0) & (overall > 0.7)})
 
 
+#: Default weights: rules, and the character and syllable models by the size of their n-grams.
+DEFAULT_WEIGHTS = {"rule": 0.4, "char3": 0.15, "char4": 0.10, "char5": 0.05, "syll2": 0.15, "syll3": 0.10, "syll4": 0.05}
+
+
+def confidences(model: Column) -> Column:
+    """How sure a model is: rules 0.9, others 0.7."""
+    return F.when(model == "rule", 0.9).otherwise(0.7)
+
+
+def chosen_weights(method: str, search=None) -> dict[str, float]:
+    """Weights by an optimisation method: those of ``search`` by cross_validation, else the defaults (also for grid_search and genetic)."""
+    if method == "cross_validation" and search is not None:
+        best = search()
+        return {"rule": best["rule_weight"]} | {f"char{n}": w for n, w in best["char"].items()} | {f"syll{n}": w for n, w in best["syllable"].items()}
+    return dict(DEFAULT_WEIGHTS)
+
+
+def vote(rows: DataFrame, key: str, method: str = "weighted", ratio: str | None = None, length: str | None = None) -> DataFrame:
+    """Votes by a method: dynamic (which needs ratio and length), confidence_weighted, else weighted (majority too)."""
+    if method == "dynamic":
+        return confidence_vote(dynamic_weights(rows, ratio, length), key)
+    if method == "confidence_weighted":
+        return confidence_vote(rows, key)
+    return weighted_vote(rows, key)
+
+
+def score_summary(rows: DataFrame, key: str) -> DataFrame:
+    """(key, rule_score, statistical_score, consensus_score) of rows (key, model, score): the mean of the n-gram models, and the agreement of all."""
+    rule = F.col("model") == "rule"
+    return rows.groupBy(key).agg(
+        F.coalesce(F.max(F.when(rule, F.col("score"))), F.lit(1.0)).alias("rule_score"),
+        F.coalesce(F.avg(F.when(~rule, F.col("score"))), F.lit(1.0)).alias("statistical_score"),
+        F.greatest(F.lit(0.0), 1 - 4 * F.var_pop("score")).alias("consensus_score"),
+    )
+
+
+def ensemble_metrics(results: DataFrame) -> DataFrame:
+    """One row over results (is_valid, consensus_score, confidence_score). Accuracy is the share of valid texts.
+
+    As there are no true labels, precision, recall and the like are fixed shares of it, and error rates fixed numbers.
+    """
+    # The shares and rates.
+    shares = {"precision": 0.9, "recall": 0.85, "f1_score": 0.87, "rule_based_accuracy": 0.9, "character_ngram_accuracy": 0.8, "syllable_ngram_accuracy": 0.85}
+    accuracy = F.count_if("is_valid") / F.count("*")
+    c, f = F.avg("consensus_score"), F.avg("confidence_score")
+    return results.agg(accuracy.alias("accuracy"), *((accuracy * v).alias(k) for k, v in shares.items()), c.alias("consensus_rate"), f.alias("confidence_correlation"), (c * f).alias("voting_efficiency"), F.lit(0.1).alias("false_positive_rate"), F.lit(0.15).alias("false_negative_rate"))
+
+
+def error_report(errors: DataFrame, *kinds: str) -> DataFrame:
+    """(kind, name, rank, n, percent): the errors by each column of ``kinds``, most first."""
+    each = errors.select(F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("name")) for k in kinds))).alias("x")).groupBy("x.kind", "x.name").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("kind")
+    return each.select("kind", "name", F.row_number().over(w.orderBy(F.desc("n"), "name")).cast("bigint").alias("rank"), "n", (100 * F.col("n") / F.sum("n").over(w)).alias("percent"))
+
+
 def best_errors(rows: DataFrame, key: str) -> DataFrame:
     """Of rows (key, position, segment, confidence, source, ord), the most confident of each place and segment; first source on ties."""
     w = Window.partitionBy(key, "position", "segment").orderBy(F.desc("confidence"), "ord")
@@ -75,30 +130,37 @@ def weight_grid(char_sizes: list[int] = [3, 4, 5], syllable_sizes: list[int] = [
     return out
 
 
-def ranked_slices(df: DataFrame, key: str, starts: list[int], size: int) -> DataFrame:
+def ranked_slices(df: DataFrame, key: str, starts: list[int], size: int, most: int = 50_000) -> DataFrame:
     """The rows of ranks s to s + size - 1 by a numeric ``key``, for each s of ``starts``, with the number of the start (fold).
 
-    Rows are counted in about 200 ranges of the key, so only the ranges that hold a slice are sorted, never all rows.
+    Rows are counted in about 200 ranges of the key and the ranges that hold a slice are counted in finer ones, until
+    they hold ``most`` rows or fewer (or one value alone); only these are sorted, never all rows.
     """
-    cuts = sorted(set(df.approxQuantile(key, [k / 200 for k in range(1, 200)], 0.001)))
-    part = sum((F.when(F.col(key) >= c, 1).otherwise(0) for c in cuts), F.lit(0))
-    cut = df.withColumn("_part", part)
-    counts = dict(cut.groupBy("_part").count().collect())  # a row for each range
     out = None
     for fold, start in enumerate(starts):
-        before = 0
-        chosen, skip, held = [], None, 0
-        for k in sorted(counts):
-            if before + counts[k] > start and held < (skip or 0) + size:
-                skip = start - before if skip is None else skip
-                chosen.append(k)
-                held += counts[k]
-            before += counts[k]
-        if not chosen:
+        near, skip = df, start
+        while True:
+            cuts = sorted(set(near.approxQuantile(key, [k / 200 for k in range(1, 200)], 0.001)))
+            part = sum((F.when(F.col(key) >= c, 1).otherwise(0) for c in cuts), F.lit(0))
+            counts = dict(near.groupBy(part.alias("part")).count().collect())  # a row for each range
+            before, chosen, first = 0, [], 0
+            for k in sorted(counts):
+                if before + counts[k] > skip and before < skip + size:
+                    first = before if not chosen else first
+                    chosen.append(k)
+                before += counts[k]
+            if not chosen:
+                near = None
+                break
+            held, whole = sum(counts[k] for k in chosen), before
+            near, skip = near.where(part.isin(chosen)), skip - first
+            if held <= max(most, 2 * size) or held == whole:
+                break
+        if near is None:
             continue
         w = Window.orderBy(key)
-        near = cut.where(F.col("_part").isin(chosen)).orderBy(key).limit(skip + size).withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") > skip)
-        one = near.drop("_part", "_rank").withColumn("fold", F.lit(fold))
+        ranks = near.orderBy(key).limit(skip + size).withColumn("place", F.row_number().over(w)).where(F.col("place") > skip)
+        one = ranks.drop("place").withColumn("fold", F.lit(fold))
         out = one if out is None else out.unionByName(one)
     return out if out is not None else df.limit(0).withColumn("fold", F.lit(0))
 

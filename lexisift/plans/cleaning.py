@@ -9,7 +9,7 @@ from lexisift.functions.scripts import SCRIPT, SPACE_RE2
 from lexisift.functions.segment import syllables
 from lexisift.plans.registry import query
 from lexisift.plans.sqltext import CORPUS, count, ratio, strip, tokens
-from lexisift.sources.corpus import documents, projected, table
+from lexisift.sources.corpus import projected, table
 
 _S = SPACE_RE2
 
@@ -47,7 +47,7 @@ least(1.0, CASE WHEN {r} >= {least_ratio} THEN 0.3 * least({r} / 0.8, 1.0) ELSE
 
 @query(f"SELECT doc_id, {clean_sql('text')} AS cleaned FROM documents")
 def clean_text(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", T.clean_text("text").alias("cleaned"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.clean_text("text").alias("cleaned"))
 
 
 @query(f"SELECT page_id, {markup_sql('html')} AS cleaned FROM pages")
@@ -57,7 +57,7 @@ def clean_html_pages(spark, sf_dir):
 
 @query(f"SELECT doc_id, {strip(_chain('text', [(f'[{_S}]+', ' '), (chr(92) + '[[^' + chr(92) + 'n]*?' + chr(92) + ']', ''), (chr(92) + '([^' + chr(92) + 'n]*?' + chr(92) + ')', '')]))} AS cleaned FROM documents")
 def clean_scraped(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", T.clean_scraped("text").alias("cleaned"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.clean_scraped("text").alias("cleaned"))
 
 
 @query(f"WITH {CORPUS}, m AS (SELECT doc_id, {quality_sql('kt')} FROM corpus) SELECT doc_id, length, word_count, sentence_count, round(khmer_ratio, 6) AS khmer_ratio, round(avg_word_length, 6) AS avg_word_length, has_proper_encoding, round(quality_score, 6) AS quality_score FROM m")
@@ -127,13 +127,13 @@ def model_text(spark, sf_dir):
 
 @query(f"SELECT doc_id, pos::BIGINT AS pos, p AS paragraph FROM (SELECT doc_id, unnest(a) AS x, generate_subscripts(a, 1) - 1 AS pos FROM (SELECT doc_id, string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)) AS a FROM documents)) t, LATERAL (SELECT {strip('x')} AS p) WHERE length(p) >= 50")
 def paragraphs(spark, sf_dir):
-    d = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split(F.replace("text", F.lit("\n"), F.lit("\n\n")), "\n\n")).alias("pos", "x"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.replace("text", F.lit("\n"), F.lit("\n\n")), "\n\n")).alias("pos", "x"))
     return d.select("doc_id", F.col("pos").cast("bigint").alias("pos"), T.strip("x").alias("paragraph")).where(F.length("paragraph") >= 50)
 
 
 @query(f"SELECT doc_id, pos::BIGINT AS pos, p AS sentence FROM (SELECT doc_id, unnest(a) AS x, generate_subscripts(a, 1) - 1 AS pos FROM (SELECT doc_id, regexp_split_to_array(text, '[.!?\\x{{17D4}}]+') AS a FROM documents)) t, LATERAL (SELECT {strip('x')} AS p) WHERE length(p) > 10")
 def sentences(spark, sf_dir):
-    d = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", r"[.!?\x{17D4}]+")).alias("pos", "x"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", r"[.!?\x{17D4}]+")).alias("pos", "x"))
     return d.select("doc_id", F.col("pos").cast("bigint").alias("pos"), T.strip("x").alias("sentence")).where(F.length("sentence") > 10)
 
 
@@ -141,7 +141,7 @@ def sentences(spark, sf_dir):
 (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS x FROM documents)) WHERE length(trim(p)) >= 3 GROUP BY doc_id""")
 def refined_paragraphs(spark, sf_dir):
     refined = F.flatten(F.transform(F.split("text", "\n\n"), lambda p: F.when(F.length(p) > 300, F.split(p, "\n")).otherwise(F.array(p))))
-    d = documents(spark, sf_dir).select("doc_id", F.explode(refined).alias("p")).where(F.length(F.trim("p")) >= 3)
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(refined).alias("p")).where(F.length(F.trim("p")) >= 3)
     return d.groupBy("doc_id").agg(F.count("*").alias("pieces"), F.max(F.length("p")).cast("bigint").alias("longest"))
 
 
@@ -149,11 +149,11 @@ def refined_paragraphs(spark, sf_dir):
 def char_chunks(spark, sf_dir):
     """Chunks of 1000 characters, in order."""
     last = F.greatest(F.lit(0), F.floor((F.length("text") + 999) / 1000).cast("int") - 1)
-    d = documents(spark, sf_dir).select("doc_id", "text", F.explode(F.sequence(F.lit(0), last)).alias("pos"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.sequence(F.lit(0), last)).alias("pos"))
     return d.select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.expr("substr(text, pos * 1000 + 1, 1000)").alias("chunk"))
 
 
 @query("SELECT q.quality, count(*) AS texts, round(avg(d.n_chars), 4) AS mean_chars FROM documents d LEFT JOIN labels q USING (doc_id) GROUP BY q.quality")
 def label_join(spark, sf_dir):
-    d = documents(spark, sf_dir).select("doc_id", "n_chars").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
     return d.groupBy("quality").agg(F.count("*").alias("texts"), F.round(F.avg("n_chars"), 4).alias("mean_chars"))

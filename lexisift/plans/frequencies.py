@@ -74,13 +74,13 @@ def validate_syllables(spark, sf_dir):
     return Q.confidence(model(spark, sf_dir), context(spark, sf_dir)).select("syllable", "cnt", F.round("confidence_score", 6).alias("confidence_score"))
 
 
-@query(f"""WITH {_MODEL}, u AS (SELECT syllable AS a FROM model WHERE cnt = 1 AND length(syllable) <= 12), k AS (SELECT syllable AS b FROM model WHERE cnt >= 2),
+@query(f"""WITH {_MODEL}, u AS (SELECT syllable AS a FROM model WHERE cnt = 1), k AS (SELECT syllable AS b FROM model WHERE cnt >= 2),
 p AS (SELECT a, b, len(list_filter(list_zip(string_split(a, ''), string_split(b, '')), lambda x: x[1] = x[2])) / greatest(length(a), length(b)) AS similarity FROM u, k WHERE a <> b AND least(length(a), length(b)) > 0.5 * greatest(length(a), length(b))),
 r AS (SELECT a, b, similarity, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) AS rank FROM p WHERE similarity > 0.5)
 SELECT a AS syllable, rank, b AS suggestion, round(similarity, 6) AS similarity FROM r WHERE rank <= 5""")
 def suggestions(spark, sf_dir):
     m = model(spark, sf_dir)
-    out = Q.suggestions(m.where((F.col("cnt") == 1) & (F.length("syllable") <= 12)), m.where("cnt >= 2"))
+    out = Q.suggestions(m.where("cnt = 1"), m.where("cnt >= 2"))
     return out.withColumn("similarity", F.round("similarity", 6))
 
 

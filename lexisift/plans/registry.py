@@ -22,4 +22,4 @@ def query(sql: str | None = None, name: str | None = None):
     return keep
 
 
-from lexisift.plans import cleaning, combined, duplicates, frequencies, models, neural, segmentation, statistics, synthesis, vocabularies, web  # noqa: E402, F401
+from lexisift.plans import cleaning, combined, duplicates, ensembles, frequencies, integration, models, segmentation, statistics, surface, synthesis, vocabularies, web  # noqa: E402, F401

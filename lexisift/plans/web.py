@@ -58,10 +58,3 @@ _GRID = ", ".join(f"(SELECT unnest([{', '.join(str(low + (high - low) * i / 4) f
 def param_grid(spark, sf_dir):
     digits = lambda k: 9 if k.endswith("weight") else 6
     return P.grid(spark).select(*(F.round(k, digits(k)).alias(k) for k in P.SPACE))
-
-
-@query("SELECT doc_id, round(greatest(0.0, least(1.0, 0.4 * a + 0.2 * c + 0.2 * g + 0.1 * s + 0.1 * d)), 6) AS objective FROM (SELECT doc_id, (doc_id % 7) / 7 AS a, (doc_id % 5) / 5 AS c, (doc_id % 3) / 3 AS g, (doc_id % 11) / 11 AS s, (doc_id % 13) / 13 AS d FROM documents)")
-def objective_scores(spark, sf_dir):
-    part = lambda n: (F.col("doc_id") % n) / n
-    d = table(spark, sf_dir, "documents").select("doc_id", part(7).alias("accuracy"), part(5).alias("confidence"), part(3).alias("agreement"), part(11).alias("speed"), part(13).alias("detection"))
-    return d.select("doc_id", F.round(P.objective(), 6).alias("objective"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexisift.functions.scripts import SCRIPT
+from lexisift.functions.segment import filled, syllables
+from lexisift.functions.text import clean_text, held, strip, with_quality
 from lexisift.functions.udfs import decoded
 
 
@@ -39,6 +42,23 @@ def preview(docs: DataFrame, files: int = 3, rows: int = 5, width: int = 100) ->
     return few.select("filename", "pos", F.substring("line", 1, width).alias("line"))
 
 
+def quick_preview(docs: DataFrame, files: int = 3, rows: int = 5, least_ratio: float = 0.7, least_length: int = 20) -> DataFrame:
+    """(filename, pos, line, is_valid): the first lines of the smallest files, cleaned and judged."""
+    few = smallest(docs, files).select("filename", F.posexplode(F.slice(F.split("content", "\n"), 1, rows)).alias("pos", "line"))
+    out = with_quality(held(few, "line", clean_text("line")), "line", least_ratio, least_length)
+    return out.select("filename", "pos", "line", ((F.col("length") >= least_length) & (F.col("khmer_ratio") >= least_ratio) & (F.col("quality_score") >= 0.6)).alias("is_valid"))
+
+
+def token_sample(lines: DataFrame, text: str, order: str, rows: int = 100, examples: int = 10) -> DataFrame:
+    """One row over the first ``rows`` lines: tokens, those of the script alone, their share, and the first distinct examples of each side."""
+    few = lines.orderBy(order).limit(rows).select(order, F.posexplode(filled(syllables(strip(text)))).alias("pos", "token"))
+    pure = F.col("token").rlike(rf"^[{SCRIPT}]+\z")
+    first = few.groupBy("token").agg(F.min(F.struct(order, "pos")).alias("first"), F.count("*").alias("cnt")).withColumn("pure", pure)
+    some = lambda side: F.transform(F.slice(F.sort_array(F.collect_list(F.when(side, F.struct("first", "token")))), 1, examples), lambda x: x["token"])
+    n, own = F.sum("cnt"), F.sum(F.when(F.col("pure"), F.col("cnt")).otherwise(0))
+    return first.agg(n.alias("tokens"), own.alias("script_tokens"), (own / n).alias("script_share"), some(~F.col("pure")).alias("other_examples"), some(F.col("pure")).alias("script_examples"))
+
+
 def line_groups(docs: DataFrame, text: str = "content", most: int = 1000) -> DataFrame:
     """``docs`` with ``groups``: whole lines put together up to ``most`` characters; a longer line is a group of its own."""
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))

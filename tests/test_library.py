@@ -105,8 +105,40 @@ def test_rules(spark):
     for r in rules.sequence_rows(texts, "id", "t").collect():
         got.setdefault(r["id"], []).append(r["type"])
     assert got == {2: ["invalid_unicode_sequence"], 4: ["invalid_character_sequence"]}
-    alone = spark.createDataFrame([(1, 0, "្")], "id bigint, at bigint, x string")
-    assert sorted(r["type"] for r in rules.syllable_rows(alone, "id").collect()) == ["invalid_coeng_usage", "invalid_coeng_usage", "orphaned_combining_mark"]
+    alone = spark.createDataFrame([(1, "ក្"), (1, "្ា"), (2, "កាិ"), (3, None)], "id bigint, t string")
+    found = rules.with_errors(alone, "t", syllables("t"))
+    got = [sorted((e["position"], e["length"], e["type"]) for e in r["rule_errors"]) for r in found.collect()]
+    assert got[0] == [(1, 1, "invalid_coeng_usage"), (1, 1, "invalid_coeng_usage"), (1, 1, "orphaned_combining_mark")]  # rows of equal id do not mix
+    assert (1, 2, "invalid_vowel_combination") in got[2] and got[3] == []
+    scores = [(r["n_errors"], r["n_warnings"], r["is_valid"]) for r in rules.rule_summary(alone, "id", "t", syllables("t")).collect()]
+    assert scores[0] == (3, 0, False) and scores[3] == (0, 0, True)
+    one = rules.batch_statistics(alone, "t", syllables("t")).first()
+    assert one["n_texts"] == 4 and one["n_errors"] == sum(x[0] for x in scores) and [x["n"] for x in one["by_type"]] == sorted((x["n"] for x in one["by_type"]), reverse=True)
+
+
+def test_running_starts(spark):
+    from lexisift.functions.arrays import starts
+
+    sizes = [random.Random(2).randrange(9) for _ in range(1000)]
+    got = spark.createDataFrame([(sizes,), ([],), ([5],)], "s array<int>").select(starts(F.col("s"))).collect()
+    assert [r[0] for r in got] == [[sum(sizes[:k]) for k in range(1000)], [], [0]]
+
+
+def test_cleaning_takes_long_runs(spark):
+    """A run of a megabyte without its end is cleaned in one pass, by every pattern."""
+    import time
+
+    began = time.time()
+    runs = ["<" * 10**6, "[" * 10**6, "(" * 10**6, "a" * 10**6, "a@" * 500_000, " " * 10**6 + "x", "mailto:" * 150_000, "&a" * 500_000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(runs)], "id bigint, t string")
+    got = {r["id"]: r["n"] for r in df.select("id", F.length(T.clean_text("t")).alias("n")).collect()}
+    assert got[0] == got[1] == got[3] == 10**6 and got[5] == 1  # a run of "(" goes as a telephone number
+    assert got[2] == 0 and time.time() - began < 40
+
+
+def test_emails_and_brackets(spark):
+    text = "mail a@b.c now x@y z@.w @b.c a@b. (in) [out] <b>bold</b> (open [open <open"
+    assert one(spark, text, T.clean_text("t"))[0] == "mail now x@y z@.w @b.c a@b. bold (open [open <open"
 
 
 def test_votes_without_weight(spark):
@@ -127,17 +159,82 @@ def test_suggestions_against_all_pairs(spark):
     assert got == pytest.approx(want)
 
 
+def matched(x, y):
+    return SequenceMatcher(None, x, y).ratio() if x and y else 0.0
+
+
+def greedy_by_hand(texts, least=0.85):
+    kept = []
+    for i, t in sorted(texts):
+        if not any(matched(t, k) >= least for _, k in kept):
+            kept.append((i, t))
+    return {i for i, _ in kept}
+
+
 def test_fuzzy_duplicates_against_matcher(spark):
     r = random.Random(5)
     words = ["w%d" % i for i in range(300)]
     base = [" ".join(r.choices(words, k=40)) for _ in range(6)]
     texts = [(i, b) for i, b in enumerate(base)] + [(10 + i, b.replace(" ", " x ", 1)) for i, b in enumerate(base)] + [(20, "short"), (21, None)]
+    tails = [" ".join("t%d" % r.randrange(9999) for _ in range(14)) for _ in range(2)]
+    body = " ".join(r.choices(words, k=200))
+    texts += [(30, body), (31, body + " " + tails[0]), (32, body + " " + tails[1]), (33, tails[0]), (34, tails[1])]  # tails that others share
+    script = "".join(chr(0x4E00 + r.randrange(300)) for _ in range(400))  # no spaces
+    texts += [(40, script), (41, script[:200] + "រ" + script[201:])]
+    third = " ".join(r.choices(words, k=60)).split()
+    texts += [(50, " ".join(third)), (51, " ".join(w + "z" if k % 3 == 0 else w for k, w in enumerate(third)))]
     df = spark.createDataFrame(texts, "seq bigint, content string")
     got = {(p["a"], p["b"]) for p in dedup.fuzzy_pairs(df).collect()}
-    want = {(a, b) for a, x in texts for b, y in texts if b < a and x and y and SequenceMatcher(None, x, y).ratio() >= 0.85}
-    assert got == want
-    kept = {x["seq"]: x["kept"] for x in dedup.greedy(df.select("seq"), dedup.fuzzy_pairs(df)).collect()}
-    assert [k for k, v in sorted(kept.items()) if not v] == [10, 11, 12, 13, 14, 15]
+    want = {(a, b) for a, x in texts for b, y in texts if b < a and matched(x, y) >= 0.85}
+    assert got == want and {(31, 30), (32, 30), (41, 40)} <= got
+    kept = {x["seq"] for x in dedup.fuzzy_kept(df).collect() if x["kept"]}
+    assert kept == greedy_by_hand([(i, t or "") for i, t in texts])
+    assert {x["seq"] for x in dedup.greedy(df.select("seq"), dedup.fuzzy_pairs(df)).collect() if x["kept"]} == kept
+
+
+def test_fuzzy_duplicates_of_a_table(spark):
+    """The smallest table: what is kept equals comparing each article with all kept ones, at all four checks."""
+    from lexisift.sources.corpus import articles
+
+    rows = articles(spark, "/root/testdata/sf0.001").select("seq", "title", "content")
+    got = {x["seq"]: (x["duplicate_type"], x["original"]) for x in dedup.deduplicated(rows).collect()}
+    data = rows.withColumns({"t": T.normal_form("title"), "c": T.normal_form("content")}).orderBy("seq").collect()
+
+    def near(x, y, least):
+        if not x or not y or 2 * min(len(x), len(y)) < least * (len(x) + len(y)):
+            return False
+        m = SequenceMatcher(None, x, y)
+        return m.real_quick_ratio() >= least and m.quick_ratio() >= least and m.ratio() >= least
+
+    seen, unique, kept, want = set(), [], [], {}
+    for r in data:
+        if len(r["content"]) < 50:
+            want[r["seq"]] = "short_content"
+        elif r["c"] in seen:
+            want[r["seq"]] = "exact_content"
+        else:
+            seen.add(r["c"])
+            unique.append(r)
+    for r in unique:
+        if any(near(r["c"], k["c"], 0.85) for k in kept):
+            want[r["seq"]] = "fuzzy_content"
+        else:
+            kept.append(r)
+    titled, first, left = [], {}, []
+    for r in kept:
+        if r["t"] and r["t"] in first:
+            want[r["seq"]] = "title"
+        else:
+            first[r["t"]] = r["seq"]
+            left.append(r)
+    for r in left:
+        if any(near(r["t"], k["t"], 0.9) for k in titled):
+            want[r["seq"]] = "title"
+        else:
+            titled.append(r)
+            want[r["seq"]] = "unique"
+    assert {k: v for k, (v, _) in got.items()} == want
+    assert all((o is None) == (k in ("unique", "short_content")) or k == "unique" for k, o in got.values())
 
 
 def test_vocabulary_round_trip(spark):
@@ -153,6 +250,8 @@ def test_vocabulary_round_trip(spark):
 def test_synthetic_families(spark):
     got = {k: d.distinct().count() for k, d in synth.families(spark).items()}
     assert got["cluster"] == 1190 and got["independent"] == 190 and got["digits"] == 110 and got["consonant_vowel"] == 875
+    tokens = {r["token"] for r in synth.all_tokens(spark).collect()}
+    assert {"ស្ត្រ", "ហ្វ្រ", "ង្ក្រ", "សាស្ត្រ", "ស្ត្រី", "សាស្ត្រា", "ហ្វ្រង្ក", "អង្ក្រង"} <= tokens
 
 
 def test_files_and_sinks(spark, tmp_path):
@@ -190,9 +289,10 @@ def test_error_merge(spark):
     from lexisift.operators import neural
 
     rows = [(1, 0, "x", "rule", 0.5, "a", 0), (1, 0, "x", "char", 0.58, "b", 1), (1, 0, "x", "syll", 0.52, "c", 2), (1, 5, "y", "rule", 0.9, "a", 0), (1, 5, "y", "char", 0.3, "b", 1)]
-    df = spark.createDataFrame(rows, "id bigint, position bigint, segment string, type string, confidence double, description string, ord int")
+    rows = [(*x, x[3]) for x in rows]
+    df = spark.createDataFrame(rows, "id bigint, position bigint, segment string, type string, confidence double, description string, ord int, source string")
     got = {r["position"]: (r["type"], r["confidence"], r["description"]) for r in neural.merged_errors(df, "id").collect()}
-    assert got == {0: ("char", 0.58, "b; c"), 5: ("rule", 0.9, "a")}
+    assert got == {0: ("char", 0.58, "b (also detected by syll)"), 5: ("rule", 0.9, "a")}
 
 
 def test_final_score(spark):
@@ -216,6 +316,6 @@ def test_ranked_slices(spark):
 
 
 def test_greedy_decides_long_chains(spark):
-    keys = spark.range(54).withColumnRenamed("id", "seq")
-    pairs = spark.range(1, 54).selectExpr("id AS a", "id - 1 AS b")
-    assert {x["seq"]: x["kept"] for x in dedup.greedy(keys, pairs).collect()} == {k: k % 2 == 0 for k in range(54)}
+    keys = spark.range(200).withColumnRenamed("id", "seq")
+    pairs = spark.range(1, 200).selectExpr("id AS a", "id - 1 AS b")
+    assert {x["seq"]: x["kept"] for x in dedup.greedy(keys, pairs).collect()} == {k: k % 2 == 0 for k in range(200)}
