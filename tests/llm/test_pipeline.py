@@ -1,6 +1,14 @@
 """The pipeline on the smallest tables, and its registration."""
 
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+from tokenizers import Tokenizer
+
 import corpus_pipeline
+from lexisift.llm import quality
 from lexisift.llm.common import stored, table
 
 SF = "/root/testdata/sf0.001"
@@ -24,6 +32,84 @@ def test_stages(spark):
     assert {r["doc_id"] for r in pieces.select("doc_id").distinct().collect()} == ids
 
 
+def lines_by_hand(docs):
+    """Texts after the line stage, by dictionaries: lines on five sites go from all but their first document, proven copies of one stay whole."""
+    sites, first = defaultdict(set), {}
+    words = lambda x: re.findall(r"[^\x20\x09-\x0D]+", x)
+    for i, text, site in docs:
+        for line in text.split("\n"):
+            if line.strip(" "):
+                sites[line.strip(" ")].add(site)
+                first[line.strip(" ")] = min(i, first.get(line.strip(" "), i))
+    size = {i: (len(re.findall(r"[\x20\x09-\x0D]", text)) + 1, text.count("\n") + 1) for i, text, _ in docs}
+    out = {}
+    for i, text, _ in docs:
+        cut = {x for x in (line.strip(" ") for line in text.split("\n")) if x and len(sites[x]) >= 5 and first[x] != i}
+        common = defaultdict(list)
+        for x in cut:
+            common[first[x]].append(len(words(x)))
+        best = max(((sum(n), len(n), *size[k]) for k, n in common.items()), default=None)
+        if best:
+            runs = best[0] - 4 * (size[i][1] + best[3] - 2 * best[1] + 1)
+            if 180 * runs >= 80 * (size[i][0] + best[2] - 8):
+                cut = set()
+        left = "\n".join(x for x in text.split("\n") if not x.strip(" ") or x.strip(" ") not in cut)
+        if not cut or left.strip():
+            out[i] = left
+    return out
+
+
+def test_stages_by_brute_force(spark):
+    """Each stage's result on the smallest tables equals a plain version of it, on the stage's own input."""
+    docs = table(spark, SF, "documents")
+    good = stored(corpus_pipeline.quality_stage(spark, docs, SF), "good")
+    judged = {r["doc_id"] for r in quality.assess(docs, table(spark, SF, "labels")).where("keep").collect()}
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in good.collect()]
+    assert {i for i, *_ in rows} == judged
+    cut = stored(corpus_pipeline.line_stage(spark, good, SF), "cut")
+    got = {r["doc_id"]: r["text"] for r in cut.collect()}
+    assert got == lines_by_hand(rows)
+    sets = {}
+    for i, text in got.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    label = {i: i for i in sets}
+    pairs = [(a, b) for a in sets for b in sets if a < b and 100 * (n := len(sets[a] & sets[b])) >= 80 * (len(sets[a]) + len(sets[b]) - n) and n]
+    for _ in sets:
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    near = stored(corpus_pipeline.near_stage(spark, cut, SF), "near")
+    kept = {r["doc_id"]: r["text"] for r in near.collect()}
+    assert set(kept) == {i for i in label if label[i] == i}
+    tokenizer, seen, used = Tokenizer.from_file(corpus_pipeline.vocabulary()), defaultdict(int), defaultdict(list)
+    ids = {i: np.array(tokenizer.encode(t, add_special_tokens=False).ids + [0], "<u4") for i, t in kept.items()}
+    for p in corpus_pipeline.packing_stage(spark, near, SF).collect():
+        assert zlib.crc32(ids[p["doc_id"]][p["start"] : p["start"] + p["length"]].tobytes()) == p["ids_crc32"]
+        seen[p["doc_id"]] += p["length"]
+        used[p["sequence_id"]].append((p["offset"], p["length"]))
+    assert seen == {i: len(x) for i, x in ids.items()}
+    for parts in used.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 1024
+
+
+def test_stages_take_odd_rows(spark):
+    """Nulls, repeated and missing doc_ids, extra columns and empty tables pass through every stage."""
+    rows = [(1, None, None, None, None), (1, None, None, None, None), (2, "", "en", "s", 0), (None, "a b c d e f", "en", "s", 11), (3, "a b c d e f", "en", "s", 11), (4, "a b c d e f", "en", "t", 11)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").selectExpr("*", "'x' AS keep", "'y' AS component_id")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, df, SF)
+        assert stage(spark, df.limit(0), SF).count() == 0
+        got = [r["doc_id"] for r in out.collect()]
+        if name == "near_duplicates":
+            assert sorted(map(str, got)) == ["1", "1", "2", "3", "None"]
+        elif name in ("lines", "packing"):
+            assert len(got) == 6
+
+
 def test_good_documents_stay(spark):
     labels = table(spark, SF, "labels").toPandas()
     kept = {r["doc_id"] for r in corpus_pipeline.quality_stage(spark, table(spark, SF, "documents"), SF).select("doc_id").collect()}
