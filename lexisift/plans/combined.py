@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexisift.functions import text as T
-from lexisift.functions.scripts import COENG, RULE_CONSONANT, RULE_DEPENDENT, RULE_MARK, RULE_VOWEL, SCRIPT, SPACE_RE2
+from lexisift.functions.scripts import RULE_CONSONANT, RULE_DEPENDENT, RULE_MARK, RULE_VOWEL, SCRIPT, SPACE_RE2
 from lexisift.functions.segment import syllables
 from lexisift.operators import rules as R
 from lexisift.operators import voting as V

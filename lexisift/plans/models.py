@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexisift.functions.scripts import LATIN, PROJECTED, SCRIPT, SPACE_RE2
-from lexisift.functions.text import model_text
 from lexisift.operators import ngrams as N
 from lexisift.plans.registry import query
 from lexisift.plans.sqltext import CORPUS, not_blank, tokens

@@ -17,7 +17,7 @@ from lexisift.plans import frequencies as fr
 from lexisift.plans import vocabularies as vo
 from lexisift.plans.cleaning import quality_sql
 from lexisift.plans.frequencies import _CONTEXT, _MODEL
-from lexisift.plans.models import _BENCH, _GT, _SCORED, _model, bench_texts, char_model
+from lexisift.plans.models import _GT, _SCORED, _model, bench_texts, char_model
 from lexisift.plans.registry import query
 from lexisift.plans.sqltext import CORPUS, not_blank, tokens
 from lexisift.plans.vocabularies import _FAST

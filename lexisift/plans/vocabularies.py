@@ -8,7 +8,7 @@ from lexisift.functions.scripts import SPACE_RE2
 from lexisift.functions.segment import filled, syllables
 from lexisift.functions.text import held
 from lexisift.operators import vocab as V
-from lexisift.plans.models import _SCORED, _model, bench_texts, char_scored
+from lexisift.plans.models import _SCORED, _model, char_scored
 from lexisift.plans.registry import query
 from lexisift.plans.sqltext import CORPUS, not_blank, tokens
 from lexisift.plans.statistics import char_freq
