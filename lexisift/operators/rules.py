@@ -18,6 +18,7 @@ def _error(position: Column, length: Column | int, kind: str, severity: str = "e
     return F.struct(position.cast("int").alias("position"), (F.lit(length) if isinstance(length, int) else length).cast("int").alias("length"), F.lit(kind).alias("type"), F.lit(severity).alias("severity"))
 
 
+MARK = "\x01\x02\x01"
 ERRORS = "array<struct<position:int,length:int,type:string,severity:string>>"
 
 
@@ -67,9 +68,14 @@ def with_errors(df: DataFrame, text: str, syllables: Column | None, name: str =
     if syllables is None:
         return df.withColumn(name, found)
     df = held(df, name, syllables)
-    odd = lambda z: z["x"].rlike(f"[{RULE_MARK}{RULE_DEPENDENT}]") & ~z["x"].rlike(WHOLE) & z["x"].rlike(f"[^{SPACE}]")
+    odd = lambda x: x.rlike(f"[{RULE_MARK}{RULE_DEPENDENT}]") & ~x.rlike(WHOLE) & x.rlike(f"[^{SPACE}]")
+    # Odd syllables are set off by a mark that no text has; the pieces between marks, few as they are, give the places.
+    joined = F.array_join(F.transform(name, lambda x: F.when(odd(x), F.concat(F.lit(MARK), x, F.lit(MARK))).otherwise(x)), "")
+    pieces = F.when(F.contains(text, F.lit(MARK)), F.flatten(F.transform(name, lambda x: F.when(odd(x), F.array(F.lit(""), x)).otherwise(F.array(x, F.lit("")))))).otherwise(F.split(joined, MARK))
+    df = held(df, name, pieces)
     placed = F.zip_with(name, starts(F.transform(name, F.length)), lambda x, at: F.struct(x.alias("x"), at.alias("at")))
-    return df.withColumn(name, F.concat(F.flatten(F.transform(F.filter(placed, odd), lambda z: syllable_errors(z["x"], z["at"]))), found))
+    every_second = F.filter(placed, lambda z, i: i % 2 == 1)
+    return df.withColumn(name, F.concat(F.flatten(F.transform(every_second, lambda z: syllable_errors(z["x"], z["at"]))), found))
 
 
 def error_rows(texts: DataFrame, key: str, text: str, syllables: Column | None) -> DataFrame:
