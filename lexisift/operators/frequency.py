@@ -10,9 +10,13 @@ from lexisift.functions import text as T
 
 
 def typed_counts(tokens: DataFrame, name: str = "syllable") -> DataFrame:
-    """(type, syllable, cnt, included) of one row for each token."""
-    counts = tokens.groupBy(name).agg(F.count("*").alias("cnt"))
-    return counts.withColumn("type", T.syllable_type(name)).withColumn("included", T.included(name, F.col("type")))
+    """(type, syllable, cnt, included) of one row for each token.
+
+    The generators keep filters by type above the counts: Catalyst moves a filter that only names the group's key below
+    the aggregate, where the type would be worked out for each token instead of each syllable.
+    """
+    counts = T.held(tokens.groupBy(name).agg(F.count("*").alias("cnt")), "type", T.syllable_type(name))
+    return T.held(counts, "included", T.included(name, F.col("type")))
 
 
 def merged(old: DataFrame, new: DataFrame, name: str = "syllable") -> DataFrame:
@@ -57,12 +61,27 @@ def extremes(counts: DataFrame, k: int = 50, rare: int = 10) -> DataFrame:
     return top.union(low)
 
 
-def confidence(counts: DataFrame, context: DataFrame) -> DataFrame:
-    """counts with confidence_score: seven tenths by frequency, three by how often it has a context."""
+def places(lists: DataFrame, tokens: str, fits: str) -> DataFrame:
+    """(syllable, cnt, seen) of the syllables of lists that match ``fits``: how often each occurs, and how often behind another such one.
+
+    Of each list only the beginning is looked through for its first fitting syllable; else the pattern is matched with
+    each syllable once, not with each token.
+    """
+    lists = T.held(lists.select(tokens), tokens, F.col(tokens))
+    fitting = lambda c: F.get(F.filter(c, lambda x: x.rlike(fits)), F.lit(0))
+    head = F.array_position(F.col(tokens), F.coalesce(fitting(F.slice(tokens, 1, 8)), fitting(F.col(tokens)), F.lit("")))
+    # Held below the tokens: beside a generator it would be worked out for each of them.
+    each = T.held(lists, "head", head).select("head", F.posexplode(tokens).alias("pos", "syllable"))
+    counts = each.groupBy("syllable").agg(F.count("*").alias("cnt"), F.count_if(F.col("pos") >= F.col("head")).alias("seen"))
+    # A generator keeps the filter above the counts.
+    return T.held(counts, "fits", F.col("syllable").rlike(fits)).where("fits").drop("fits")
+
+
+def confidence(counts: DataFrame) -> DataFrame:
+    """(syllable, cnt, confidence_score) of (syllable, cnt, seen): seven tenths by frequency, three by how often it has a context."""
     most = counts.agg(F.max("cnt").alias("most"))
-    seen = context.groupBy("syllable").agg(F.sum("cnt").alias("seen"))
-    out = counts.join(seen, "syllable", "left").join(F.broadcast(most))  # one row is broadcast
-    return out.withColumn("confidence_score", 0.7 * F.col("cnt") / F.col("most") + 0.3 * F.least(F.coalesce("seen", F.lit(0)) / 100, F.lit(1.0))).drop("most", "seen")
+    score = 0.7 * F.col("cnt") / F.col("most") + 0.3 * F.least(F.col("seen") / 100, F.lit(1.0))
+    return counts.join(F.broadcast(most)).select("syllable", "cnt", score.alias("confidence_score"))  # one row is broadcast
 
 
 def suggestions(unknown: DataFrame, known: DataFrame, k: int = 5, least: float = 0.5) -> DataFrame:

@@ -71,7 +71,8 @@ def prev_context(spark, sf_dir):
 @query(f"""WITH {_CONTEXT}, counts AS (SELECT syllable, count(*) AS cnt FROM fit GROUP BY 1), seen AS (SELECT syllable, count(*) AS seen FROM before WHERE prev IS NOT NULL GROUP BY 1)
 SELECT c.syllable, cnt, round(0.7 * cnt / (SELECT max(cnt) FROM counts) + 0.3 * least(coalesce(seen, 0) / 100, 1.0), 6) AS confidence_score FROM counts c LEFT JOIN seen USING (syllable)""")
 def validate_syllables(spark, sf_dir):
-    return Q.confidence(model(spark, sf_dir), context(spark, sf_dir)).select("syllable", "cnt", F.round("confidence_score", 6).alias("confidence_score"))
+    lists = projected(spark, sf_dir).select(syllables("kt").alias("s"))
+    return Q.confidence(Q.places(lists, "s", T.INCLUDED)).withColumn("confidence_score", F.round("confidence_score", 6))
 
 
 @query(f"""WITH {_MODEL}, u AS (SELECT syllable AS a FROM model WHERE cnt = 1), k AS (SELECT syllable AS b FROM model WHERE cnt >= 2),

@@ -148,6 +148,22 @@ def test_votes_without_weight(spark):
     assert len(voting.weight_grid()) == 20
 
 
+def test_types_are_worked_out_for_each_syllable_not_each_token(spark):
+    tokens = spark.createDataFrame([("a",), ("a",), ("ក",)], "syllable string")
+    counts = frequency.typed_counts(tokens).where("included")
+    assert [tuple(r) for r in counts.select("syllable", "cnt").collect()] == [("ក", 1)]
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Aggregate") :]
+    assert "Filter" not in below and "RLIKE" not in below
+
+
+def test_confidence_by_places(spark):
+    lists = spark.createDataFrame([(["a"] * 20 + ["ក", "a", "ខ", "ក"],), (["ខ"],), (["a"],), ([],), (None,)], "s array<string>")
+    out = frequency.places(lists, "s", T.INCLUDED)
+    assert {tuple(r) for r in out.collect()} == {("ក", 2, 1), ("ខ", 2, 1)}
+    assert {r["syllable"]: r["confidence_score"] for r in frequency.confidence(out).collect()} == pytest.approx({"ក": 0.703, "ខ": 0.703})
+
+
 def test_suggestions_against_all_pairs(spark):
     r = random.Random(3)
     word = lambda: "".join(r.choice("abc") for _ in range(r.randrange(1, 6)))
