@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from lexisift.functions import text as T
+from lexisift.functions.scripts import DIGIT, SCRIPT, SPACE, segmenter
+from lexisift.functions.segment import syllables
 
 
 def typed_counts(tokens: DataFrame, name: str = "syllable") -> DataFrame:
@@ -108,8 +110,25 @@ def suggestions(unknown: DataFrame, known: DataFrame, k: int = 5, least: float =
     return close.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("syllable", F.col("rank").cast("bigint").alias("rank"), "suggestion", "similarity")
 
 
-def text_validity(each: DataFrame, counts: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """(doc, total, valid, validity_rate, unknown) of one row for each syllable; valid ones occur twice or more."""
-    joined = each.join(counts.select("syllable", "cnt"), "syllable", "left")
-    valid = F.coalesce(F.col("cnt") >= 2, F.lit(False))
-    return joined.groupBy(doc).agg(F.count("*").alias("total"), F.count_if(valid).alias("valid"), (F.count_if(valid) / F.count("*")).alias("validity_rate"), F.count_if(~valid).alias("unknown"))
+def text_validity(texts: DataFrame, text: str, doc: str = "doc_id") -> DataFrame:
+    """(doc, total, valid, validity_rate, unknown) of texts with syllables; valid ones are included and occur twice or more.
+
+    A syllable that occurs once does so in one text, so the counts by syllable name it beside the count, and no
+    syllable is looked up. Kinds that are left out have no letter of the script or are numbers, which stand in a text
+    as whole runs; so these alone are taken out of a text once more, and its syllables are counted without a list.
+    """
+    texts = texts.select(doc, text)
+    clean = F.translate(F.coalesce(F.col(text), F.lit("")), "\u200b", "")
+    tokens = texts.select(doc, F.explode(syllables(text)).alias("syllable"))
+    once = tokens.groupBy("syllable").agg(F.count("*").alias("cnt"), F.min(doc).alias(doc)).where("cnt = 1")
+    # A generator keeps the filter above the counts.
+    once = T.held(once, "fits", F.col("syllable").rlike(T.COUNTED)).where("fits")
+    alone = once.select(doc, F.lit(0).alias("total"), F.lit(1).alias("unknown"))
+    lists = T.held(texts.select(doc, clean.alias(text)), "odd", F.regexp_extract_all(text, F.lit(rf"(?U)[^{SCRIPT}\s]+|[{DIGIT}]{{2,}}+"), 0))
+    blank = F.size(F.filter("odd", lambda x: ~x.rlike(f"[^{SPACE}]")))
+    left_out = F.size(F.filter("odd", lambda x: ~x.rlike(T.COUNTED)))
+    whole = lists.select(doc, F.regexp_count(text, F.lit(segmenter("regex_advanced").replace(r"\s+|", "", 1))).alias("n"), blank.alias("blank"), left_out.alias("left_out"))
+    sums = whole.select(doc, (F.col("n") - F.col("blank")).alias("total"), (F.col("left_out") - F.col("blank")).alias("unknown")).unionByName(alone)
+    out = sums.groupBy(doc).agg(F.sum("total").alias("total"), F.sum("unknown").alias("unknown")).where("total > 0")
+    valid = F.col("total") - F.col("unknown")
+    return out.select(doc, "total", valid.alias("valid"), (valid / F.col("total")).alias("validity_rate"), "unknown")

@@ -88,4 +88,4 @@ def suggestions(spark, sf_dir):
 @query(f"""WITH {_MODEL} SELECT doc_id, count(*) AS total, count(*) FILTER (WHERE coalesce(m.cnt, 0) >= 2) AS valid, round(count(*) FILTER (WHERE coalesce(m.cnt, 0) >= 2) / count(*), 6) AS validity_rate, count(*) FILTER (WHERE coalesce(m.cnt, 0) < 2) AS unknown
 FROM each LEFT JOIN model m USING (syllable) GROUP BY doc_id""")
 def text_validity(spark, sf_dir):
-    return Q.text_validity(each(spark, sf_dir), model(spark, sf_dir)).withColumn("validity_rate", F.round("validity_rate", 6))
+    return Q.text_validity(projected(spark, sf_dir), "kt").withColumn("validity_rate", F.round("validity_rate", 6))

@@ -157,6 +157,31 @@ def test_types_are_worked_out_for_each_syllable_not_each_token(spark):
     assert "Filter" not in below and "RLIKE" not in below
 
 
+def test_counted_is_included(spark):
+    r = random.Random(7)
+    tokens = {"".join(r.choice("ក១1a!។ \x1c\u00a0\x85\n") for _ in range(r.randrange(1, 5))) for _ in range(800)}
+    df = spark.createDataFrame([(x,) for x in sorted(tokens)], "t string")
+    got = df.select("t", F.col("t").rlike(T.COUNTED).alias("a"), T.included("t", T.syllable_type("t")).alias("b")).collect()
+    assert [x["t"] for x in got if x["a"] != x["b"]] == []
+
+
+def test_text_validity_joins_nothing(spark):
+    r = random.Random(9)
+    words = ["ក", "ខ្ក", "គា", "ឃ", "hello", "l'un", "12", "1", "១២", "១", "!?", "។", " ", "\n", "\x1c", "\u00a0", "\u200b", "é"]
+    rows = [(r.choice([1, 2, 3, None, k]), "".join(r.choice(words) for _ in range(r.randrange(12)))) for k in range(60)] + [(900, None), (901, " "), (902, "គា៉ ច")]
+    df = spark.createDataFrame(rows, "doc_id bigint, t string")
+    out = frequency.text_validity(df, "t")
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    lists = [(x["doc_id"], x["s"]) for x in df.select("doc_id", F.filter(syllables("t"), lambda x: x.rlike(f"[^{T.SPACE}]")).alias("s")).collect()]
+    tokens = spark.createDataFrame([(x,) for _, s in lists for x in s], "syllable string")
+    known = {x["syllable"] for x in frequency.typed_counts(tokens).where("included and cnt >= 2").collect()}
+    want = {}
+    for doc, s in lists:
+        total, valid = want.get(doc, (0, 0))
+        want[doc] = (total + len(s), valid + sum(x in known for x in s))
+    assert {x["doc_id"]: (x["total"], x["valid"], x["unknown"]) for x in out.collect()} == {d: (n, v, n - v) for d, (n, v) in want.items() if n}
+
+
 def test_confidence_by_places(spark):
     lists = spark.createDataFrame([(["a"] * 20 + ["ក", "a", "ខ", "ក"],), (["ខ"],), (["a"],), ([],), (None,)], "s array<string>")
     out = frequency.places(lists, "s", T.INCLUDED)
