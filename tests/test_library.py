@@ -212,6 +212,22 @@ def greedy_by_hand(texts, least=0.85):
     return {i for i, _ in kept}
 
 
+def test_counts_settle_pairs_without_the_matcher(monkeypatch):
+    from lexisift.functions import udfs
+
+    r = random.Random(11)
+    texts = ["".join(r.choice("abcd") for _ in range(r.randrange(12))) for _ in range(60)]
+    seen = {}
+    for least in (0.0, 0.5, 0.85, 0.9):
+        for a in texts:
+            for b in texts:
+                want = matched(a, b)
+                assert udfs.ratio_at_least(a, b, least, seen) == (want if want >= least else None)
+    monkeypatch.setattr(udfs, "SequenceMatcher", None)  # no pair of these is handed to it
+    assert udfs.ratio_at_least("abcdefgh", "abcdexyz", 0.85, {}) is None
+    assert udfs.ratio_at_least("abc", "abcabcabc", 0.85, {}) is None
+
+
 def test_fuzzy_duplicates_against_matcher(spark):
     r = random.Random(5)
     words = ["w%d" % i for i in range(300)]
