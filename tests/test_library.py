@@ -228,6 +228,13 @@ def test_counts_settle_pairs_without_the_matcher(monkeypatch):
     assert udfs.ratio_at_least("abc", "abcabcabc", 0.85, {}) is None
 
 
+def test_matcher_runs_in_all_tasks(spark):
+    texts = spark.createDataFrame([(k, "abcdefgh" * 3 + "xy"[k % 2]) for k in range(40)], "seq bigint, t string")
+    pairs = spark.createDataFrame([(k, 0) for k in range(1, 40)], "a bigint, b bigint")
+    out = dedup.matched(texts, pairs, "seq", 0.85).withColumn("task", F.spark_partition_id())
+    assert out.count() == 39 and out.select("task").distinct().count() > 1
+
+
 def test_fuzzy_duplicates_against_matcher(spark):
     r = random.Random(5)
     words = ["w%d" % i for i in range(300)]
