@@ -38,6 +38,9 @@ KINDS, ALONE, BANDS, CLASSES = 16, 31, 6, 64
 RARE = 4096
 ROWS_PAIR = CLASSES * CLASSES
 BLOCK = 256
+#: Lines of a weight row that are added in one turn.
+RUN = 16
+_ONES = np.ones(CLASSES, np.float32)
 PAD = 4
 #: Training tokens for each task of a round, of which there are eight at least: the fewer tasks, the fewer tables of steps are shuffled.
 SHARD = 1 << 22
@@ -60,6 +63,15 @@ class Texts:
         """The text of each word."""
         return np.repeat(np.arange(len(self.sizes)), self.sizes)
 
+    def coded(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct words, sorted, and the place of each word among them."""
+        found = pa.array(self.words).dictionary_encode()
+        words = found.dictionary.to_numpy()
+        order = np.argsort(words)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        return words[order], rank[found.indices.to_numpy()]
+
 
 def texts(batches: Iterator[pa.RecordBatch], column: int, size: int = 1 << 18) -> Iterator[Texts]:
     """The texts of a column, grouped until they have ``size`` bytes. Null counts as empty."""
@@ -97,21 +109,23 @@ def runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new)
 
 
-def word_counts(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, word, times) of the distinct words of each text."""
-    doc = t.docs()
-    order, first = runs(doc, t.words)
-    return doc[order[first]], t.words[order[first]], np.diff(np.append(first, len(order)))
+def word_counts(doc: np.ndarray, code: np.ndarray, distinct: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, code, times) of the distinct words of each text, of ``distinct`` codes in all."""
+    both = doc * distinct + code
+    both.sort()
+    first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.zeros(0, np.int64)
+    doc, code = np.divmod(both[first], max(distinct, 1))
+    return doc, code, np.diff(np.append(first, len(both)))
 
 
-def kinds(t: Texts, doc: np.ndarray, word: np.ndarray, times: np.ndarray) -> np.ndarray:
+def kinds(t: Texts, words: np.ndarray, code: np.ndarray) -> np.ndarray:
     """The kind of each text: a hash of its most frequent word that begins with a letter, 0 without one."""
-    begins = np.sort(t.words[t.letter])
-    at = np.minimum(np.searchsorted(begins, word), max(len(begins) - 1, 0))
-    use = begins[at] == word if len(begins) else np.zeros(len(word), bool)
     out = np.zeros(len(t.sizes), np.int64)
-    order = np.lexsort((word[use], times[use], doc[use]))  # the last of each text is its most frequent
-    out[doc[use][order]] = (word[use][order].view(np.uint64) % np.uint64(KINDS)).astype(np.int64)
+    doc, code, times = word_counts(t.docs()[t.letter], code[t.letter], len(words))
+    if len(doc):
+        first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+        top = np.maximum.reduceat(times * len(words) + code, first) % len(words)  # of equally frequent words the last
+        out[doc[first]] = (words[top].view(np.uint64) % np.uint64(KINDS)).astype(np.int64)
     return out
 
 
@@ -135,10 +149,11 @@ def counted(docs: DataFrame, flush: int = 1_000_000) -> DataFrame:
 
         new = 0
         for t in texts(batches, 0):
-            doc, word, times = word_counts(t)
-            kind = kinds(t, doc, word, times)
+            words, code = t.coded()
+            kind = kinds(t, words, code)
             ends = np.bincount(kind, minlength=KINDS)
-            held.append((np.concatenate([kind[doc], np.flatnonzero(ends)]), np.concatenate([word, np.full(np.count_nonzero(ends), END)]), np.concatenate([times, ends[ends > 0]])))
+            of, word, times = word_counts(kind[t.docs()], code, len(words))
+            held.append((np.concatenate([of, np.flatnonzero(ends)]), np.concatenate([words[word], np.full(np.count_nonzero(ends), END)]), np.concatenate([times, ends[ends > 0]])))
             new += len(word)
             if new > flush // 2:
                 held, new = [summed()], 0
@@ -218,6 +233,8 @@ class Ids:
         self.sorted = voc.words[self.order]
         self.end = int(self(np.zeros(1, np.int64) + END)[0])
         self.classes = np.concatenate([voc.classes, np.zeros(RARE + 1, np.int64)])
+        self.short = self.classes.astype(np.uint16)
+        self.hashed = (((np.arange(self.pad + 1) * 2654435761) % 4294967291) % voc.rows_word).astype(np.uint16)
 
     def __call__(self, words: np.ndarray) -> np.ndarray:
         rare = self.known + (words.view(np.uint64) % np.uint64(RARE)).astype(np.int64)
@@ -230,7 +247,8 @@ class Ids:
         """One id sequence of all texts, PAD ids before and the end after each, and where each text's PAD ids begin."""
         n, d = len(t.words), len(t.sizes)
         x = np.full(n + d * (PAD + 1), self.pad, np.int64)
-        x[np.arange(n) + t.docs() * (PAD + 1) + PAD] = self(t.words)
+        words, code = t.coded()
+        x[np.arange(n) + t.docs() * (PAD + 1) + PAD] = self(words)[code]
         x[np.cumsum(t.sizes) + np.arange(d) * (PAD + 1) + PAD] = self.end
         return x, np.cumsum(t.sizes) - t.sizes + np.arange(d) * (PAD + 1)
 
@@ -246,11 +264,9 @@ def local(voc: Vocabulary) -> Ids:
     return _LOCAL[voc.key]
 
 
-def rows_of(x: np.ndarray, classes: np.ndarray, rows_word: int) -> np.ndarray:
+def rows_of(x: np.ndarray, ids: Ids) -> np.ndarray:
     """The weight row of each of the four templates at each place of the id sequence ``x`` from PAD on, within the template."""
-    hashed = (((x * 2654435761) % 4294967291) % rows_word).astype(np.uint16)
-    c = classes[x].astype(np.uint16)
-    n = len(x)
+    hashed, c, n = ids.hashed[x], ids.short[x], len(x)
     back = lambda a, k: a[PAD - k : n - k]
     return np.stack([back(hashed, 1), back(hashed, 2), back(c, 1) * np.uint16(CLASSES) + back(c, 2), back(c, 3) * np.uint16(CLASSES) + back(c, 4)])
 
@@ -264,33 +280,60 @@ def templates(weights: np.ndarray) -> list[np.ndarray]:
 
 def softmax(weights: list[np.ndarray], prior: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The exponentials of the classes' scores, less the largest where they could overflow, and their sums."""
-    z = prior + weights[0].take(rows[0], axis=0)
+    z = weights[0].take(rows[0], axis=0)
+    z += prior
     for w, r in zip(weights[1:], rows[1:]):
         z += w.take(r, axis=0)
     if z.max() > 60:  # no row is low throughout: gradients add up to zero over the classes, so a row's mean is the prior's
         z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
-    return z, z.sum(axis=1)
+    return z, z @ _ONES
 
 
-def row_sums(p: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct ``rows``, the sums of the lines of ``p`` that belong to each, and how many these are.
+def first_lines(p: np.ndarray, order: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The groups in the order of their sizes, and the sums of at most RUN lines of each: ``p[order[first : first + size]]``."""
+    size = np.minimum(size, RUN)
+    by = np.argsort((RUN - size).astype(np.uint8), kind="stable")
+    first = first[by]
+    sums = p.take(order[first], axis=0)
+    more = len(size) - np.cumsum(np.bincount(size, minlength=RUN + 1))  # groups with more than k lines come first
+    for k in range(1, RUN):
+        m = more[k]
+        if not m:
+            break
+        sums[:m] += p.take(order[first[:m] + k], axis=0)
+    return by, sums
+
+
+def sorted_sums(p: np.ndarray, order: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values of the sorted ``at``, the sums of the lines ``p[order]`` that belong to each, and how many these are.
 
-    Lines are put in the order of their rows and added two by two, so each is touched about three times in all.
+    The first RUN lines of each are added one by one, for all together; what is left is cut into runs of RUN lines, and
+    their sums are added in the same way. So each line is touched once.
     """
-    order = np.argsort(rows, kind="stable")
-    at = rows[order]
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     size = np.diff(np.append(first, len(at)))
-    lines = p.take(order, axis=0)
-    place = np.arange(len(at)) - np.repeat(first, size)
-    left = np.repeat(size, size) - place  # lines of the row from here on
-    to, step = np.flatnonzero((place % 2 == 0) & (left > 1)), 1
-    while len(to):
-        lines[to] = lines.take(to, axis=0) + lines.take(to + step, axis=0)
-        step *= 2
-        to = to[(place[to] % (2 * step) == 0) & (left[to] > step)]
-    return at[first], lines.take(first, axis=0), size
+    by, sums = first_lines(p, order, first, size)
+    first, size = first[by], size[by]
+    left = np.flatnonzero(size > RUN)
+    if len(left):
+        count = (size[left] - 1) // RUN
+        owner = np.repeat(left, count)
+        k = np.arange(1, len(owner) + 1) - np.repeat(np.cumsum(count) - count, count)
+        by, runs = first_lines(p, order, first[owner] + k * RUN, size[owner] - k * RUN)
+        to, more, _ = sorted_sums(runs, np.argsort(by), owner)
+        sums[to] += more
+    return at[first], sums, size
+
+
+def row_sums(p: np.ndarray, rows: np.ndarray, begins: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct ``rows``, the sums of the lines of ``p`` that belong to each, and how many these are.
+
+    ``rows`` may be those of several templates, one beside the other, and ``begins`` where the rows of each begin.
+    """
+    order = np.argsort(rows, kind="stable")
+    at = np.take_along_axis(rows, order, -1) + begins
+    return sorted_sums(p, order.ravel(), at.ravel())
 
 
 def train_round(docs: DataFrame, voc, shared, rate: float, step: int = 4096) -> np.ndarray:
@@ -304,24 +347,25 @@ def train_round(docs: DataFrame, voc, shared, rate: float, step: int = 4096) ->
         prior = v.prior.astype(np.float32)
         start = shared.value
         weights, met, energy = start.copy(), np.zeros(v.rows, np.float32), np.full(v.rows, 1e-6, np.float32)
-        parts, mets, energies = templates(weights), templates(met), templates(energy)
+        parts, begins = templates(weights), np.cumsum([[0], [v.rows_word], [v.rows_word], [ROWS_PAIR]])[:, None]
         for t in texts(batches, 0):
             x, _ = ids.sequence(t)
             for k in range(0, len(x) - PAD, 1 << 16):
                 part = x[k : k + (1 << 16) + PAD]
-                rows, target = rows_of(part, ids.classes, v.rows_word), ids.classes[part[PAD:]]
+                rows, target = rows_of(part, ids), ids.classes[part[PAD:]]
                 real = np.flatnonzero(part[PAD:] != ids.pad)
                 rows, target = rows[:, real], target[real]
                 for i in range(0, len(target), step):
                     r, y = rows[:, i : i + step], target[i : i + step]
                     p, total = softmax(parts, prior, r)
-                    p /= -total[:, None]
+                    p *= (-1 / total)[:, None]
                     p[np.arange(len(y)), y] += 1
-                    for own, w, m, e in zip(r, parts, mets, energies):
-                        to, grad, seen = row_sums(p, own)
-                        e[to] += np.einsum("ij,ij->i", grad, grad)
-                        w[to] += (rate / np.sqrt(e[to]))[:, None] * grad
-                        m[to] += seen
+                    to, grad, seen = row_sums(p, r, begins)
+                    energy[to] += np.einsum("ij,ij->i", grad, grad)
+                    grad *= (rate / np.sqrt(energy[to]))[:, None]
+                    grad += weights.take(to, axis=0)
+                    weights[to] = grad
+                    met[to] += seen
         if met.any():
             moved = np.clip(weights - start, -60, 60).astype(np.float16)
             task = TaskContext.get().partitionId()
@@ -352,15 +396,35 @@ def train_round(docs: DataFrame, voc, shared, rate: float, step: int = 4096) ->
 SCORED = "rid bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, score double, rare array<bigint>, times array<bigint>"
 
 
-def token_scores(x: np.ndarray, v: Vocabulary, ids: Ids, weights: np.ndarray) -> np.ndarray:
-    """log10 P(word | context) of each place of the sequence ``x``: of frequent words whole, of rare ones the class alone."""
+def factors(weights: list[np.ndarray], prior: np.ndarray) -> list[np.ndarray]:
+    """The exponentials of the weights, each row less its largest: products of rows are those of the scores but for a factor."""
+    out = [w + prior if k == 0 else w.copy() for k, w in enumerate(weights)]
+    for w in out:
+        w -= w.max(axis=1, keepdims=True)
+        np.exp(w, out=w)
+    return out
+
+
+def token_scores(x: np.ndarray, v: Vocabulary, ids: Ids, weights: np.ndarray, tables: list[np.ndarray] | None = None) -> np.ndarray:
+    """log10 P(word | context) of each place of the sequence ``x``: of frequent words whole, of rare ones the class alone.
+
+    ``tables``: the weights' ``factors``, made anew without them. Where products come near to nothing, scores are added.
+    """
     prior, inside, weights = v.prior.astype(np.float32), np.concatenate([v.inside, np.zeros(RARE + 1)]), templates(weights)
+    tables = tables or factors(weights, prior)
     out = np.zeros(len(x))
-    for k in range(0, len(x) - PAD, 8192):
-        part = x[k : k + 8192 + PAD]
-        z, total = softmax(weights, prior, rows_of(part, ids.classes, v.rows_word))
-        chosen = z[np.arange(len(total)), ids.classes[part[PAD:]]]
-        out[PAD + k : PAD + k + len(total)] = np.log10(np.maximum(chosen, 1e-30)) - np.log10(total)
+    for k in range(0, len(x) - PAD, 4096):
+        part = x[k : k + 4096 + PAD]
+        rows, y = rows_of(part, ids), ids.classes[part[PAD:]]
+        z = tables[0].take(rows[0], axis=0)
+        for w, r in zip(tables[1:], rows[1:]):
+            z *= w.take(r, axis=0)
+        total, chosen = z @ _ONES, z[np.arange(len(y)), y]
+        weak = np.flatnonzero(chosen < 1e-20)
+        if len(weak):
+            z, total[weak] = softmax(weights, prior, rows[:, weak])
+            chosen[weak] = z[np.arange(len(weak)), y[weak]]
+        out[PAD + k : PAD + k + len(y)] = np.log10(np.maximum(chosen, 1e-30)) - np.log10(total)
     out += inside[x]
     out[x == ids.pad] = 0
     return out
@@ -372,20 +436,23 @@ def score_frequent(docs: DataFrame, voc, weights) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, w = voc.value, weights.value
         ids = local(v)
+        tables = factors(templates(w), v.prior.astype(np.float32))
         base = np.concatenate([v.base, np.zeros(RARE + 1)])
         rid = TaskContext.get().partitionId() << 33
         for t in texts(batches, 2):
             x, begin = ids.sequence(t)
-            at = token_scores(x, v, ids, w)
+            at = token_scores(x, v, ids, w, tables)
             score, plain, head = np.add.reduceat(at, begin), np.add.reduceat(base[x], begin), np.add.reduceat((x < ids.known).astype(np.int64), begin)
-            doc, word, times = word_counts(t)
-            rare = ids(word) >= ids.known
             n = len(t.sizes)
+            odd = np.flatnonzero(x[np.arange(len(t.words)) + t.docs() * (PAD + 1) + PAD] >= ids.known)
+            words, code = np.unique(t.words[odd], return_inverse=True)
+            doc, code, times = word_counts(t.docs()[odd], code, len(words))
+            word = words[code]
             if ids.end >= ids.known:  # without training texts the end is as rare as all else
-                doc, word, times, rare = np.append(doc, np.arange(n)), np.append(word, np.full(n, END)), np.append(times, np.ones(n, np.int64)), np.append(rare, np.ones(n, bool))
+                doc, word, times = np.append(doc, np.arange(n)), np.append(word, np.full(n, END)), np.append(times, np.ones(n, np.int64))
                 order = np.argsort(doc, kind="stable")
-                doc, word, times, rare = doc[order], word[order], times[order], rare[order]
-            offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc[rare], minlength=n))]), pa.int32())
+                doc, word, times = doc[order], word[order], times[order]
+            offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=n))]), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.arange(rid, rid + n), pa.int64()),
@@ -395,8 +462,8 @@ def score_frequent(docs: DataFrame, voc, weights) -> DataFrame:
                     pa.array(head, pa.int64()),
                     pa.array(plain, pa.float64()),
                     pa.array(score, pa.float64()),
-                    pa.ListArray.from_arrays(offsets, pa.array(word[rare], pa.int64())),
-                    pa.ListArray.from_arrays(offsets, pa.array(times[rare], pa.int64())),
+                    pa.ListArray.from_arrays(offsets, pa.array(word, pa.int64())),
+                    pa.ListArray.from_arrays(offsets, pa.array(times, pa.int64())),
                 ],
                 [f.split()[0] for f in SCORED.split(", ")],
             )

@@ -8,17 +8,15 @@ import re
 import numpy as np
 
 #: Fixed value: the bytes between words (space and \\t to \\r).
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[0x41:0x5B] += 0x20
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Words of more bytes are hashed by a digest, so that arrays stay small whatever the text.
-_LONG, _SLICE = 1 << 16, 1 << 20
-_LONG_WORD = re.compile(rb"[^\x20\x09-\x0D]{%d,}" % (_LONG + 1))
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
+#: Words of more bytes are hashed by a digest, so that arrays stay small whatever the text.
+_LONG = 1 << 16
+_LONG_WORD = re.compile(rb"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]{%d,}" % (_LONG + 1))  # tried at the begin of a word alone
+#: A slice's arrays stay in a core's cache.
+_SLICE = 1 << 15
+_BASE = 0x9E3779B97F4A7C15
 with np.errstate(over="ignore"):
-    _POWERS = np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(_LONG, _BASE, np.uint64))])
+    _POWERS, _INVERSES = (np.multiply.accumulate(np.array([1] + [x] * (_SLICE + _LONG), np.uint64)) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,26 +28,33 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _slice_words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and first bytes' places of the words of a text without long words."""
-    data = _LOWER[np.frombuffer(text, np.uint8)]
+    data = np.frombuffer(text, np.uint8)
     space = np.ones(len(data) + 2, bool)
-    space[1:-1] = _SPACE[data]
+    space[1:-1] = (data == 0x20) | (data - np.uint8(9) < 5)
     edge = np.flatnonzero(space[1:] != space[:-1])
     begin, end = edge[::2], edge[1::2]
     if not len(begin):
         return np.zeros(0, np.uint64), begin
-    # Letters weighted by powers of their place in the word, summed over each word.
-    letters = np.flatnonzero(~space[1:-1])
-    size = end - begin
-    at = np.cumsum(size) - size
-    place = np.arange(len(letters)) - np.repeat(at, size)
-    value = (data[letters].astype(np.uint64) + np.uint64(1)) * _POWERS[place]
-    return mix(np.add.reduceat(value, at) + size.astype(np.uint64)), begin
+    # Letters weighted by powers of their place in the word, summed over each word: sums over the slice by powers of the
+    # place in it, their differences divided by the power of the word's place, which is odd and so has an inverse.
+    value = (data | ((data - np.uint8(0x41) < 26).view(np.uint8) << 5)).astype(np.uint64)
+    value += np.uint64(1)
+    value *= _POWERS[: len(value)]
+    sums = np.zeros(len(value) + 1, np.uint64)
+    np.add.accumulate(value, out=sums[1:])
+    return mix((sums[end] - sums[begin]) * _INVERSES[begin] + (end - begin).astype(np.uint64)), begin
+
+
+def _may_have_long(text: bytes) -> bool:
+    """Whether half a long word's bytes are without a gap somewhere; no long word is missed, and few bytes are read."""
+    half = _LONG // 2
+    return any(not _GAP.search(text, k, k + half) for k in range(0, len(text) - half + 1, half))
 
 
 def words_at(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """A hash for each word of the text, A-Z lower-cased, in order, and where each begins.
 
-    The text is worked through in slices of about a megabyte that end between words.
+    The text is worked through in slices of some kilobytes that end between words.
     """
     hashes, places, at = [], [], 0
 
@@ -63,7 +68,7 @@ def words_at(text: bytes) -> tuple[np.ndarray, np.ndarray]:
             places.append(b + at)
             at = cut
 
-    for word in _LONG_WORD.finditer(text) if len(text) > _LONG else ():
+    for word in _LONG_WORD.finditer(text) if _may_have_long(text) else ():
         plain(word.start())
         hashes.append(np.frombuffer(hashlib.blake2b(word[0].lower(), digest_size=8).digest(), np.uint64))
         places.append(np.array([word.start()]))

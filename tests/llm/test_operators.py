@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -14,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lexisift.llm import avi, bpe, chat, hamming, linededup, lm, neardup, packing, quality, tries
+from lexisift.llm import avi, bpe, chat, hamming, linededup, lm, neardup, packing, quality, shingles, tries
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -582,6 +583,39 @@ def test_language_model_row_sums():
         assert n == (rows == a).sum() and s == pytest.approx(p[rows == a].sum(axis=0), abs=1e-4)
 
 
+def test_language_model_row_sums_of_several_templates():
+    """All templates in one go, with rows met more often than a run of runs is long."""
+    r = np.random.default_rng(4)
+    rows = np.stack([np.where(r.random(3000) < 0.6, 7, r.integers(0, 900, 3000)), r.integers(0, 3, 3000)]).astype(np.uint16)
+    p = r.normal(size=(3000, 8)).astype(np.float32)
+    to, sums, seen = lm.row_sums(p, rows, np.array([[0], [900]]))
+    assert sorted(to) == sorted({*rows[0].tolist(), *(900 + rows[1].astype(int)).tolist()})
+    for a, s, n in zip(to, sums, seen):
+        of = rows[0] == a if a < 900 else rows[1] == a - 900
+        assert n == of.sum() and s == pytest.approx(p[of].sum(axis=0), abs=1e-3)
+
+
+def test_language_model_scores_without_exponentials_of_tokens(monkeypatch):
+    """Scores come from products of the rows' exponentials, and from sums where products come near to nothing."""
+    r = np.random.default_rng(5)
+    head, prior = 50, np.full(lm.CLASSES, -math.log(lm.CLASSES))
+    v = lm.Vocabulary("test", np.arange(head), np.arange(head) + 1, np.zeros(head), np.zeros(head), prior, 1000, head, 0, 0, 0.5, 2048)
+    ids = lm.Ids(v)
+    x = np.concatenate([np.full(lm.PAD, ids.pad), r.integers(0, head, 300)])
+    softmax, asked = lm.softmax, []
+    monkeypatch.setattr(lm, "softmax", lambda w, p, rows: asked.append(rows.shape[1]) or softmax(w, p, rows))
+    for scale, least, most in ((0.5, 0, 0), (5.0, 1, 299)):
+        weights = r.normal(size=(v.rows, lm.CLASSES)).astype(np.float32) * np.float32(scale)
+        asked.clear()
+        got = lm.token_scores(x, v, ids, weights)[lm.PAD :]
+        assert least <= sum(asked) <= most
+        z = prior + sum(w[k].astype(float) for w, k in zip(lm.templates(weights), lm.rows_of(x, ids)))
+        z -= z.max(axis=1, keepdims=True)
+        want = (z[np.arange(300), x[lm.PAD :] + 1] - np.log(np.exp(z).sum(axis=1))) / math.log(10)
+        near = want > -25
+        assert near.sum() > 100 and got[near] == pytest.approx(want[near], abs=2e-4)
+
+
 def test_language_model_frequent_words_have_a_class_each(spark):
     """The 31 most frequent words are alone in their classes, of 64."""
     df = docs(spark, [(i, " ".join("w%d" % k for k in range(40) for _ in range(40 - k))) for i in range(3)])
@@ -597,6 +631,21 @@ def test_words_of_long_texts():
     assert len(np.unique(h)) == 4 and h[-1] == h[-3] and (h[:2] == lm.words_at(b"some WORDS,")[0]).all()
 
 
+def test_words_of_texts_are_hashed_by_letters_and_in_linear_time():
+    """A word's hash is the sum of its lower-case bytes plus one by powers of their places, wherever it stands."""
+
+    def one(word):
+        h = (sum((c + 1) * pow(0x9E3779B97F4A7C15, k, 1 << 64) for k, c in enumerate(word.lower())) + len(word)) % (1 << 64)
+        return int(shingles.mix(np.array([h], np.uint64))[0])
+
+    r = random.Random(6)
+    parts = [bytes(r.choice([x for x in range(256) if x not in b" \t\n\x0b\x0c\r"]) for _ in range(r.randrange(1, 9))) for _ in range(20_000)] + [b"AZ[`az{@"]
+    assert lm.words_at(b" \n".join(parts))[0].tolist() == [one(w) for w in parts]
+    before = time.process_time()
+    assert len(lm.words_at(b" ".join([b"x" * 65_000] * 20))[0]) == 20  # each byte began a search for a long word
+    assert time.process_time() - before < 5
+
+
 # all ten: odd tables
 
 LONG_TEXT = "word line\n" * 250_000 + "x" * 2_500_000
