@@ -229,6 +229,26 @@ def test_counts_settle_pairs_without_the_matcher(monkeypatch):
     assert udfs.ratio_at_least("abc", "abcabcabc", 0.85, {}) is None
 
 
+def test_blocks_by_arrays_equal_the_matcher(monkeypatch):
+    from lexisift.functions import udfs
+
+    r = random.Random(4)
+    kinds = ["ab", "abcdefgh ", "".join(map(chr, range(0x4E00, 0x4F30))), "etaoin shrdluABCDEFGHIJKLMNOPQRSTUVWXYZ😀" + "etaoin " * 60]
+    for _ in range(400):
+        letters, n = r.choice(kinds), r.choice([1, 5, 40, 190, 205, 400, 900])
+        a = "".join(r.choices(letters, k=n))
+        b = "".join(c for c in a if r.random() > 0.05) + "a" if r.random() < 0.5 else "".join(r.choices(letters, k=n + r.randrange(9)))
+        whole, blocks = SequenceMatcher(None, a, b), udfs.Blocks(a, b, Counter(b), 1)
+        for part in [(0, len(a), 0, len(b))] + [(i, r.randrange(i, len(a)) + 1, j, r.randrange(j, len(b)) + 1) for i, j in [(r.randrange(len(a)), r.randrange(len(b))) for _ in range(4)]]:
+            assert blocks.longest(*part) == tuple(whole.find_longest_match(*part))
+        want = whole.ratio()
+        for least in (0.2, 0.85, 0.9):
+            assert {udfs.matched_ratio(a, b, least, Counter(b), large) for large in (1, 400)} == {want if want >= least else None}
+    monkeypatch.setattr(udfs, "SequenceMatcher", None)  # large texts that differ are settled without it
+    a, b = ("".join(r.choices(kinds[3], k=5000)) for _ in range(2))
+    assert udfs.ratio_at_least(a, b, 0.85, {}) is None
+
+
 def test_matcher_runs_in_all_tasks(spark):
     texts = spark.createDataFrame([(k, "abcdefgh" * 3 + "xy"[k % 2]) for k in range(40)], "seq bigint, t string")
     pairs = spark.createDataFrame([(k, 0) for k in range(1, 40)], "a bigint, b bigint")
